@@ -10,19 +10,20 @@ HOUR = 3_600 * SECOND
 DAY = 24 * HOUR
 
 #: A date, a time of day and (optionally) an offset. A date alone is not a time.
-ISO_TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?([Zz]|[+-]\d{2}:?\d{2})?$"
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def iso_micros(text: Column) -> Column:
     """Microseconds since 1970 UTC of an ISO 8601 text; null if it is null or no valid ISO time. Without an offset it counts as UTC."""
-    t = F.trim(text)
+    t = F.upper(F.trim(text))
     tail = F.substring(t, -6, 6)
     zoned = (
-        F.when(tail.rlike(r"([Zz]|[+-]\d{2}:\d{2})$"), t)
+        F.when(tail.rlike(r"(Z|[+-]\d{2}:\d{2})$"), t)
         .when((F.length(t) > 16) & tail.rlike(r"[+-]\d{4}$"), F.regexp_replace(t, r"(\d{2})$", ":$1"))
         .otherwise(F.concat(t, F.lit("Z")))
     )
-    return F.when(t.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(zoned)))
+    whole = F.when(F.substring(zoned, 17, 1) == ":", zoned).otherwise(F.concat(F.substring(zoned, 1, 16), F.lit(":00"), F.substring(zoned, 17, 9)))
+    return F.when(t.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(whole)))
 
 
 def micros(col: Column, dtype: str) -> Column:

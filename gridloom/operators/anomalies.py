@@ -25,6 +25,8 @@ class Limits:
     contexts: int = 6  # parts of the day
     sketch: int = 1024  # size of a KLL sketch: rank error about 0.3 %
     fence: float = 2.0  # interquartile ranges above the third quartile of the context
+    peak: float = 0.9  # the quantile that stands for regular peaks of the context
+    above_peak: float = 2.0  # times that
     top: float = 0.985  # the quantile that stands for a source's regular top
     top_positive: float = 0.96  # the same for measures of which only values above 0 are used
     shoulder: float = 0.97  # below the top, for sources of which a few spikes reach the top quantile
@@ -53,7 +55,10 @@ def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], l
         source,
         *measures,
         *["_most_" + m for m in measures],
-        *[F.struct("_context", (at_rank(F.col(m), 0.75) + limits.fence * (at_rank(F.col(m), 0.75) - at_rank(F.col(m), 0.25))).alias("fence")).alias("_fence_" + m) for m in measures],
+        *[
+            F.struct("_context", F.greatest(at_rank(F.col(m), 0.75) + limits.fence * (at_rank(F.col(m), 0.75) - at_rank(F.col(m), 0.25)), limits.above_peak * at_rank(F.col(m), limits.peak)).alias("fence")).alias("_fence_" + m)
+            for m in measures
+        ],
     )
     merged = fenced.groupBy(source).agg(
         *[F.kll_merge_agg_double(m, limits.sketch).alias(m) for m in measures],
@@ -86,7 +91,7 @@ def stuck(rows: DataFrame, source: str, at: str, row: list[str], measures: dict[
 
     rows has the columns of dedup.with_identity: copies of a message count once, and all of them come out. A null value ends a
     run; of measures that map to true, values of 0 or less are never stuck. Rows without source or time are not in a series.
-    Sources with a few fixed levels are left out.
+    Sources with a few fixed levels (of values that can be stuck) are left out.
     """
     by = [source, "_day"]
     base = rows.filter(F.col(source).isNotNull() & F.col(at).isNotNull()).withColumn("_day", bucket_of(F.col(at), bucket)).repartition(*by)
@@ -98,26 +103,28 @@ def stuck(rows: DataFrame, source: str, at: str, row: list[str], measures: dict[
     for m in measures:
         marked = marked.withColumn("_turn_" + m, (F.col("_first") | ~F.lag(m).over(along).eqNullSafe(F.col(m)))).withColumn("_ends_" + m, (F.col("_last") | ~F.lead(m).over(along).eqNullSafe(F.col(m))))
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("_count", F.sum("_new").over(upto))
     for m in measures:
-        marked = marked.withColumn("_run_" + m, F.sum(F.col("_turn_" + m).cast("int")).over(upto))
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), F.col("_run_" + m).alias("run"), (F.col("_turn_" + m) & F.col("_ends_" + m)).alias("alone")) for m in measures]))
+        may = F.col(m) > 0 if measures[m] else F.col(m).isNotNull()
+        marked = marked.withColumn("_run_" + m, F.sum(F.col("_turn_" + m).cast("int")).over(upto)).withColumn("_count_" + m, F.sum(F.when(may, F.col("_new")).otherwise(0)).over(upto))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), F.col("_run_" + m).alias("run"), F.col("_count_" + m).alias("count"), (F.col("_turn_" + m) & F.col("_ends_" + m)).alias("alone")) for m in measures]))
     # a value alone in its run can only matter at the edge of its bucket
-    near = cut(marked.select(*by, *row, "_first", "_last", "_new", "_count", each.alias("_m")).select("*", "_m.*").drop("_m").filter(~F.col("alone") | F.col("_first") | F.col("_last")))
+    near = cut(marked.select(*by, *row, "_first", "_last", "_new", each.alias("_m")).select("*", "_m.*").drop("_m").filter(~F.col("alone") | F.col("_first") | F.col("_last")))
     runs = near.groupBy(*by, "measure", "run").agg(
-        F.first("value").alias("value"), F.sum("_new").alias("n"), F.max("_last").alias("last"), F.max(F.when(F.col("_last"), F.col("_count"))).alias("in_day")
+        F.first("value").alias("value"), F.sum("_new").alias("n"), F.max("_last").alias("last"), F.max(F.when(F.col("_last"), F.col("count"))).alias("in_day")
     ).withColumn("first", F.col("run") == 1)
     inner = runs.filter(~F.col("first") & ~F.col("last")).withColumn("total", F.col("n"))
     order = Window.partitionBy(source, "measure").orderBy("_day", "run")
     goes_on = F.lag("last").over(order) & F.col("first") & F.lag("value").over(order).eqNullSafe(F.col("value"))
     edge = runs.filter(F.col("first") | F.col("last")).withColumn("_starts", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
-    edge = edge.withColumn("_chain", F.sum("_starts").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(source, "measure", "_chain"))).drop("_starts", "_chain")
+    edge = edge.withColumn("_chain", F.sum("_starts").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(source, "measure", "_chain"))).drop("_chain")
     positive = [m for m, p in measures.items() if p]
-    fit = F.col("value").isNotNull() & (~F.col("measure").isin(positive) | (F.col("value") > 0)) if positive else F.col("value").isNotNull()
-    found = inner.unionByName(edge).filter(fit & (F.col("total") >= limits.run)).select(*by, "measure", "run")
-    # sources with fixed levels
+    fit = F.col("value").isNotNull() & (~F.col("measure").isin(positive) | (F.col("value") > 0))
+    found = inner.unionByName(edge.drop("_starts")).filter(fit & (F.col("total") >= limits.run)).select(*by, "measure", "run")
+    # sources with fixed levels: values that come back and back, or (of measures that are never off) one that hardly ever changes
     total = runs.filter("last").groupBy(source, "measure").agg(F.sum("in_day").alias("in_all"))
-    level = runs.filter("value is not null and n > 1").groupBy(source, "measure", "value").agg(F.sum("n").alias("n")).join(total, [source, "measure"]).filter(F.col("n") >= limits.level * F.col("in_all"))
+    whole = inner.unionByName(edge.filter("_starts = 1").drop("_starts")).filter(fit & (F.col("total") > 1))
+    level = whole.groupBy(source, "measure", "value").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("times")).join(total, [source, "measure"])
+    level = level.filter((F.col("n") >= limits.level * F.col("in_all")) & (~F.col("measure").isin(positive) | (F.col("times") > 1)))
     fixed = level.groupBy(source, "measure").agg((F.sum("n") / F.first("in_all")).alias("share")).filter(F.col("share") >= limits.levels).select(source, "measure")
     return near.join(found.join(fixed, [source, "measure"], "left_anti"), [*by, "measure", "run"], "left_semi").select(*row, "measure")
 

@@ -1,0 +1,56 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.functions.timeparse import DAY, HOUR, micros_text
+from gridloom.operators.regrid import increments, regular_grid
+
+R = "s string, at bigint, v double"
+
+
+def grid(spark, rows, **options):
+    return regular_grid(spark.createDataFrame(rows, R), "s", "at", "v", **options).collect()
+
+
+def test_counter_is_spread_by_overlap_and_resets_are_seen(spark):
+    rows = [("m", 30 * 60_000_000, 100.0), ("m", 2 * HOUR + 30 * 60_000_000, 104.0), ("m", 3 * HOUR, 1.0), ("m", 5 * HOUR, 1.0), ("m", 5 * HOUR + 1, 1.0)]
+    out = {r.cell_start // HOUR: r for r in grid(spark, rows, counter=True)}
+    assert len(out) == 24
+    assert [out[h].amount for h in range(3)] == pytest.approx([1.0, 2.0, 1.0 + 1.0])  # 4 over two hours; then 1 since the reset
+    assert [out[h].status for h in range(7)] == ["observed", "filled", "observed", "observed", "filled", "observed", "missing"]
+    assert sum(r.amount or 0 for r in out.values()) == pytest.approx(5.0)
+    assert out[1].covered == HOUR and out[0].covered == HOUR // 2
+
+
+def test_interval_readings_reach_back_at_most_their_span(spark):
+    rows = [("m", 90 * 60_000_000, 2.0), ("m", 100 * 60_000_000, 1.0), ("m", 100 * 60_000_000, 3.0)]
+    got = sorted((r.at, r.begin, r.amount) for r in increments(spark.createDataFrame(rows, R), "s", "at", "v", False).collect())
+    m = 60_000_000
+    assert got == [(90 * m, 30 * m, 2.0), (100 * m, 90 * m, 1.0), (100 * m, 100 * m, 3.0)]
+    out = {r.cell_start // HOUR: r for r in grid(spark, rows)}
+    assert out[0].amount == pytest.approx(1.0) and out[1].amount == pytest.approx(5.0) and out[1].readings == 3
+
+
+@pytest.mark.parametrize("counter", [False, True])
+def test_marks_and_mass_against_brute_force(spark, counter):
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b"]), rng.randrange(6 * DAY), round(rng.random(), 3)) for _ in range(500)]
+    out = grid(spark, rows, counter=counter)
+    got = {(r.s, r.cell_start) for r in out if r.in_use and r.readings == 0}
+    want = set()
+    for s, d in {(s, at // DAY) for s, at, _ in rows}:
+        want |= {(s, d * DAY + h * HOUR) for h in range(24) if not any(x == s and at // HOUR == d * 24 + h for x, at, _ in rows)}
+    assert got == want
+    if not counter:
+        assert sum(r.amount or 0 for r in out) == pytest.approx(sum(v for _, _, v in rows))
+
+
+def test_nulls_empty_and_day_edges(spark):
+    assert grid(spark, []) == []
+    assert grid(spark, [(None, 5, 1.0), ("m", None, 1.0)]) == []
+    out = grid(spark, [("m", DAY, None), ("m", DAY + 10 * 60_000_000, 1.0)])
+    # a null value is a reading all the same; the hour before midnight gets no share of it
+    assert sum(r.readings for r in out) == 2 and {r.in_use for r in out if r.cell_start >= DAY} == {True}
+    text = spark.createDataFrame([("m", 0, 1.0)], R).withColumn("amount", F.lit(1)).withColumn("cell", F.lit(2))
+    assert regular_grid(text, "s", "at", "v").filter("in_use").select(micros_text(F.col("cell_start"))).count() == 24
