@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.identifiers import hex_halves, permuted, uuid_hex
+from gridloom.session import cut
 
 QUOTIENT_BITS = 16
 KEY = ["_quotient", "_high", "_low", "_other"]
@@ -59,6 +60,6 @@ def later_copies(df: DataFrame, id_col: str, first: Column, tie: list[str]) -> D
     rows = with_identity(df, id_col).filter(F.col("_quotient").isNotNull()).select(*KEY, F.coalesce(first, F.lit(LAST)).alias("_first"), *tie)
     tables = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_least"))
     repeated = tables.filter("_n > 1").drop("_n").hint("shuffle_hash")
-    copies = rows.join(repeated, KEY)
+    copies = cut(rows.join(repeated, KEY))  # only rows of messages met more than once
     kept = copies.filter("_first = _least").groupBy(*KEY).agg(F.min(F.struct(*tie)).alias("_kept")).select("_kept.*")
     return copies.select(*tie).join(kept, tie, "left_anti")
