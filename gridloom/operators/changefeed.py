@@ -19,9 +19,9 @@ def operation(op: Column) -> Column:
     """i, u or d from any writing of insert, update or delete; null for anything else."""
     first = F.lower(F.trim(op))
     return (
-        F.when(first.isin("i", "ins", "insert", "c", "create", "r", "read"), "i")
-        .when(first.isin("u", "upd", "update", "upsert"), "u")
-        .when(first.isin("d", "del", "delete"), "d")
+        F.when(first.isin("i", "ins", "insert", "inserted", "c", "create", "created", "add", "added", "new", "r", "read"), "i")
+        .when(first.isin("u", "upd", "update", "updated", "upsert", "modify", "modified", "change", "changed"), "u")
+        .when(first.isin("d", "del", "delete", "deleted", "remove", "removed"), "d")
     )
 
 

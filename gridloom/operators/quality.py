@@ -20,9 +20,8 @@ def enforce(gate: DataFrame) -> None:
 
 def coverage(seen: DataFrame, expected: DataFrame, key: str, at_least: float = 0.95) -> DataFrame:
     """Distinct keys seen against those expected."""
-    n = expected.agg(F.count_distinct(key).alias("expected_count"))
-    m = seen.agg(F.count_distinct(key).alias("seen_count"))
-    both = n.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
+    both = expected.select(F.lit(True).alias("_wanted"), F.col(key).alias("_k")).unionByName(seen.select(F.lit(False).alias("_wanted"), F.col(key).alias("_k")))
+    both = both.agg(F.count_distinct(F.when(F.col("_wanted"), F.col("_k"))).alias("expected_count"), F.count_distinct(F.when(~F.col("_wanted"), F.col("_k"))).alias("seen_count"))
     return both.select("expected_count", "seen_count", (F.coalesce(F.try_divide("seen_count", "expected_count"), F.lit(1.0)) >= at_least).alias("passed"))
 
 

@@ -86,3 +86,55 @@ WHERE z.window_start IS NULL OR total_consumption_kwh IS NULL OR total_solar_kwh
 SELECT grid_zone, strftime(window_at, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(c AS DECIMAL(38,6)) AS total_consumption_kwh,
        CAST(s AS DECIMAL(38,6)) AS total_solar_kwh, counted FROM sums""",
 }
+
+
+def _profile(column: str, usable: str, top: float, shoulder: float, name: str) -> str:
+    """The regular top of each meter and the fences of its parts of the day, with exact quantiles."""
+    v = f"CASE WHEN {usable} THEN {column} END"
+    return f"""
+{name}_meter AS (SELECT meter_id, quantile_disc({v}, {top}) AS top, quantile_disc({v}, {shoulder}) AS shoulder, max({v}) AS most FROM keyed WHERE meter_id IS NOT NULL GROUP BY 1),
+{name}_part AS (
+  SELECT meter_id, coalesce(CAST(hour(ts) AS INTEGER) // 4, -1) AS part,
+         greatest(3 * quantile_disc({v}, 0.75) - 2 * quantile_disc({v}, 0.25), 2 * quantile_disc({v}, 0.9)) AS fence
+  FROM keyed WHERE meter_id IS NOT NULL GROUP BY 1, 2
+)"""
+
+
+def _stuck(column: str, usable: str, positive_only: bool, measure: str, name: str) -> str:
+    """Rows in runs of at least eight messages of one value, of meters without fixed levels."""
+    return f"""
+{name}_line AS (SELECT DISTINCT meter_id, ts, message, {column} AS v FROM keyed WHERE meter_id IS NOT NULL AND ts IS NOT NULL),
+{name}_turn AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND v IS NOT DISTINCT FROM lag(v) OVER w THEN 0 ELSE 1 END AS turn FROM {name}_line WINDOW w AS (PARTITION BY meter_id ORDER BY ts, message)),
+{name}_run AS (SELECT *, sum(turn) OVER (PARTITION BY meter_id ORDER BY ts, message ROWS UNBOUNDED PRECEDING) AS run FROM {name}_turn),
+{name}_size AS (SELECT meter_id, run, any_value(v) AS v, count(*) AS n FROM {name}_run GROUP BY 1, 2),
+{name}_all AS (SELECT meter_id, count(*) AS in_all FROM {name}_line WHERE {usable.replace(column, 'v')} GROUP BY 1),
+{name}_level AS (SELECT meter_id, v, sum(n) AS n FROM {name}_size WHERE n > 1 AND {usable.replace(column, 'v')} GROUP BY 1, 2 {'HAVING count(*) > 1' if positive_only else ''}),
+{name}_fixed AS (SELECT l.meter_id FROM {name}_level l JOIN {name}_all a ON a.meter_id = l.meter_id WHERE l.n >= 0.05 * in_all GROUP BY l.meter_id, in_all HAVING sum(l.n) >= 0.8 * in_all),
+{name}_stuck AS (
+  SELECT k.log_partition, k.log_offset, '{measure}' AS measure FROM keyed k
+  JOIN {name}_run r ON r.meter_id = k.meter_id AND r.ts = k.ts AND r.message = k.message
+  JOIN {name}_size z ON z.meter_id = r.meter_id AND z.run = r.run
+  WHERE z.n >= 8 AND {usable.replace(column, 'z.v')} AND k.meter_id NOT IN (SELECT meter_id FROM {name}_fixed)
+)"""
+
+
+_USE, _SUN = "power_consumption_kwh", "solar_generation_kwh"
+_SPIKE = "coalesce({m}.top > 0 AND ({v} > 2.6 * {m}.top OR ({v} > 4 * {m}.shoulder AND {m}.most > 1.6 * {m}.top)) AND {v} > coalesce({p}.fence, 0), FALSE)"
+
+SQL["p6_found"] = f"""
+WITH {_READINGS.split('numbered AS')[0].rstrip().rstrip(',').replace('SELECT log_partition,', 'SELECT household_id, log_partition,')},
+{_profile(_USE, f'{_USE} >= 0', 0.985, 0.97, 'use')},
+{_profile(_SUN, f'{_SUN} > 0', 0.96, 0.96, 'sun')},
+{_stuck(_USE, f'{_USE} IS NOT NULL', False, _USE, 'u')},
+{_stuck(_SUN, f'{_SUN} > 0', True, _SUN, 's')},
+met AS (
+  SELECT k.log_partition, k.log_offset, k.ts, k.{_USE} AS c, k.{_SUN} AS s, h.has_solar, h.solar_capacity_kw AS cap,
+         {_SPIKE.format(m='um', p='up', v='k.' + _USE)} AS c_spike, {_SPIKE.format(m='sm', p='sp', v='k.' + _SUN)} AS s_spike
+  FROM keyed k LEFT JOIN households h ON (k.meter_id IS NOT NULL AND h.meter_id = k.meter_id) OR (k.meter_id IS NULL AND h.household_id = k.household_id)
+  LEFT JOIN use_meter um ON um.meter_id = h.meter_id LEFT JOIN use_part up ON up.meter_id = h.meter_id AND up.part = coalesce(CAST(hour(k.ts) AS INTEGER) // 4, -1)
+  LEFT JOIN sun_meter sm ON sm.meter_id = h.meter_id LEFT JOIN sun_part sp ON sp.meter_id = h.meter_id AND sp.part = coalesce(CAST(hour(k.ts) AS INTEGER) // 4, -1)
+)
+SELECT log_partition, log_offset, '{_USE}' AS measure FROM met WHERE c < 0 OR c_spike
+UNION SELECT log_partition, log_offset, '{_SUN}' FROM met
+  WHERE s < 0 OR (s > 0 AND (NOT has_solar OR cap <= 0)) OR s > cap OR (s > 0 AND (hour(ts) >= 20 OR hour(ts) < 4)) OR s_spike
+UNION SELECT * FROM u_stuck UNION SELECT * FROM s_stuck"""
