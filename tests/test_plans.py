@@ -20,6 +20,7 @@ def test_core_problems_stay_in_the_jvm(spark, sf, name):
 
 
 def test_scans_read_the_columns_they_need(spark, sf):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = plan_of(problems.p3_found(spark, sf))
     assert all(set(re.findall(r"(\w+):", s)) == {"meter_id", "power_consumption_kwh", "event_timestamp"} for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
     assert "IsNotNull(meter_id)" in plan  # pushed down
