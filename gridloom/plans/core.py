@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.contracts import READING
 from gridloom.functions.timeparse import DAY, HOUR, SECOND, micros, micros_text
 from gridloom.operators import clean, quality, serving, zones
 from gridloom.operators.dedup import first_copies
+from gridloom.simtime import Clock
 from gridloom.plans.problems import ROW, readings, table, tariff_changes
 
 REQUIRED = ("event_id", "household_id", "grid_zone", "power_consumption_kwh", "solar_generation_kwh", "at", "sim_date")
@@ -325,6 +328,36 @@ def hourly_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid(spark, sf_dir).groupBy(F.hour("event_at").alias("hour_of_day")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(zones.kwh(F.col("net_grid_kwh"))).cast("decimal(38,6)").alias("net_grid_kwh"))
 
 
+def sim_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication instants on a simulated axis that starts with the year and runs 288 times as fast from 2025-03-03 on."""
+    clock = Clock(datetime(2025, 1, 1, tzinfo=timezone.utc), datetime(2025, 3, 3, tzinfo=timezone.utc), 288)
+    return readings(spark, sf_dir).select(*ROW, micros_text(clock.sim_column(F.col("emitted"))).alias("sim_at"))
+
+
+def prefix_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of correlation ids with a prefix, published within two days, by zone."""
+    r = readings(spark, sf_dir)
+    end = 20160 * DAY  # 2025-03-13 00:00
+    some = r.filter(F.col("correlation_id").startswith("c-0") & (F.col("emitted") >= end - 2 * DAY) & (F.col("emitted") < end))
+    return some.groupBy("grid_zone").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("correlation_id").alias("n_ids"))
+
+
+def target_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day to work on: the one before the latest."""
+    last = table(spark, sf_dir, "meter_readings_v1").agg(F.max(F.expr("try_cast(sim_date as date)")).alias("d"))
+    return last.select(F.date_sub("d", 1).cast("string").alias("day"))
+
+
+def household_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.dimension(table(spark, sf_dir, "households"), table(spark, sf_dir, "zones"))
+
+
+def unreported_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which readings say they were taken but for which no bill was issued."""
+    bills = table(spark, sf_dir, "household_billing_daily").select(F.col("sim_date").cast("string").alias("sim_date"))
+    return table(spark, sf_dir, "meter_readings_v1").select("sim_date").filter("sim_date is not null").distinct().join(bills, "sim_date", "left_anti")
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over the events table by customer region."""
     ev = table(spark, sf_dir, "events")
@@ -354,5 +387,6 @@ QUERIES = {
         coverage_gate, coherence_gate, reject_rate_gate, duplicate_keys, current_version_faults, version_currency, null_iff_missing, settled_diff,
         low_renewable, zone_overload, meter_silent, inhibited_alerts, offset_rate, batch_percentiles, households_by_zone, dimension_faults, distinct_days,
         redelivered, next_versions, latest_bills, restated_bills, ready_days, unbilled_backlog, daily_zone_report, hourly_profile, event_windows, lineitem_totals, latest_order,
+        sim_clock, prefix_window, target_day, household_dimension, unreported_days,
     )
 }

@@ -137,4 +137,10 @@ SQL = {
  FROM events LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) ON user_id = c_custkey GROUP BY 1, 2""",
     "lineitem_totals": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_price, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1, 2",
     "latest_order": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
+    "sim_clock": f"""SELECT log_offset, log_partition, strftime(date_trunc('second', TIMESTAMP '2025-01-01' + to_microseconds(CAST(288 * date_diff('microsecond', TIMESTAMP '2025-03-03', {_iso('producer_emitted_at')}) AS BIGINT))), '%Y-%m-%d %H:%M:%S') AS sim_at FROM meter_readings_v1""",
+    "prefix_window": f"""WITH r AS (SELECT *, {_iso('producer_emitted_at')} AS e FROM meter_readings_v1) SELECT grid_zone, count(*) AS n_rows, count(DISTINCT correlation_id) AS n_ids FROM r
+ WHERE correlation_id LIKE 'c-0%' AND e >= TIMESTAMP '2025-03-11' AND e < TIMESTAMP '2025-03-13' GROUP BY 1""",
+    "target_day": "SELECT CAST(max(TRY_CAST(sim_date AS DATE)) - 1 AS VARCHAR) AS day FROM meter_readings_v1",
+    "household_dimension": "SELECT household_id, has_solar, solar_capacity_kw, z.name AS zone_name, z.capacity_kw AS zone_capacity_kw FROM households h LEFT JOIN zones z ON z.grid_zone = h.grid_zone",
+    "unreported_days": "SELECT DISTINCT sim_date FROM meter_readings_v1 WHERE sim_date IS NOT NULL AND sim_date NOT IN (SELECT CAST(sim_date AS VARCHAR) FROM household_billing_daily)",
 }

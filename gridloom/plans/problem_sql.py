@@ -138,3 +138,18 @@ SELECT log_partition, log_offset, '{_USE}' AS measure FROM met WHERE c < 0 OR c_
 UNION SELECT log_partition, log_offset, '{_SUN}' FROM met
   WHERE s < 0 OR (s > 0 AND (NOT has_solar OR cap <= 0)) OR s > cap OR (s > 0 AND (hour(ts) >= 20 OR hour(ts) < 4)) OR s_spike
 UNION SELECT * FROM u_stuck UNION SELECT * FROM s_stuck"""
+
+SQL["p3_grid"] = f"""
+WITH {_READINGS},
+r AS (SELECT meter_id, ts, power_consumption_kwh AS v FROM numbered WHERE rn = 1 AND meter_id IS NOT NULL AND ts IS NOT NULL),
+i AS (SELECT *, greatest(ts - INTERVAL '1 hour', coalesce(lag(ts) OVER w, ts - INTERVAL '1 hour')) AS b FROM r WINDOW w AS (PARTITION BY meter_id ORDER BY ts, v NULLS FIRST)),
+c AS (SELECT *, date_trunc('hour', ts) AS cell, 1 AS here FROM i UNION ALL SELECT *, date_trunc('hour', b), 0 FROM i WHERE date_trunc('hour', b) < date_trunc('hour', ts)),
+o AS (SELECT *, greatest(0, date_diff('microsecond', greatest(b, cell), least(ts, cell + INTERVAL '1 hour'))) AS cov FROM c),
+s AS (
+  SELECT meter_id, cell, sum(v * CASE WHEN ts > b THEN cov / CAST(date_diff('microsecond', b, ts) AS DOUBLE) ELSE here END) AS amount, sum(here) AS n, sum(cov) AS cov
+  FROM o WHERE here = 1 OR cov > 0 GROUP BY 1, 2
+),
+d AS (SELECT meter_id, day + k * INTERVAL '1 hour' AS cell FROM (SELECT DISTINCT meter_id, date_trunc('day', cell) AS day FROM s), range(24) AS g(k))
+SELECT d.meter_id, strftime(d.cell, '%Y-%m-%d %H:%M:%S') AS slot_start, round(amount, 6) AS kwh, CAST(coalesce(n, 0) AS BIGINT) AS readings,
+       CAST(least(coalesce(cov, 0), 3600000000) // 1000000 AS BIGINT) AS covered_s, CASE WHEN n > 0 THEN 'observed' WHEN cov > 0 THEN 'filled' ELSE 'missing' END AS status
+FROM d LEFT JOIN s ON s.meter_id = d.meter_id AND s.cell = d.cell"""
