@@ -69,3 +69,12 @@ def test_empty(spark):
     weights = mix_weights(docs, spark.createDataFrame([("m", "s", 0.5, 1, 10)], PLAN))
     assert [r.reachable for r in weights.collect()] == [False] and draw(docs, weights).count() == 0
     assert mix_weights(docs, spark.createDataFrame([], PLAN)).count() == 0
+
+
+def test_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "s", 10), (1, "s", 10), (None, "s", 10), (2, None, 10), (3, "s", 0)], DOCS).withColumns({"mix_name": F.lit("x"), "budget": F.lit(1)})
+    plan = spark.createDataFrame([("m", "s", 1.0, 2, 60), ("m", "s", 1.0, 2, 60), ("z", "s", None, None, None), (None, "s", 1.0, 1, 30)], PLAN).withColumn("n_tokens", F.lit(9))
+    weights = mix_weights(docs.select("source", "n_tokens"), plan)
+    assert {(r.mix_name, r.n_tokens, r.reachable) for r in weights.collect()} == {("m", 30, True), ("z", 30, True), (None, 30, True)}
+    drawn = draw(docs.drop("mix_name", "budget"), weights)
+    assert sorted((r.doc_id or 0, r.copies) for r in drawn.filter("mix_name = 'm'").collect()) == [(0, 2), (1, 2), (1, 2), (3, 2)]

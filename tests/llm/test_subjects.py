@@ -101,3 +101,12 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id bigint, subject string, annotator string")
     assert assign(docs, train(docs, none, SUBJECTS, SMALL)).count() == 0
     assert assign(docs.filter("false"), train(docs, none, [], SMALL)).count() == 0
+
+
+def test_nulls_repeats_long_texts_and_other_columns(spark, corpus):
+    _, docs, labels = corpus
+    model = train(docs, labels, SUBJECTS, SMALL)
+    clear = " ".join(VOCABULARY["ships"] * 3 + PLAIN * 5)
+    rows = [(1, None), (2, ""), (3, " 123 "), (4, clear), (4, clear), (None, clear), (5, "index value list " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"subject": F.lit("x"), "labels": F.lit(1)})
+    assert sorted((r.doc_id or 0, r.subject) for r in assign(df, model).collect()) == [(0, "ships"), (4, "ships"), (4, "ships")]

@@ -63,3 +63,8 @@ def test_frames(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(df, ["doc_id"]).collect()) == sorted((d or 0, len(plain(t or ""))) for d, t in rows)
     assert encode_corpus(df.filter("false"), ["doc_id"]).count() == 0
     assert dict(encode_corpus(df, ["doc_id"]).dtypes)["ids"] == "array<int>"
+
+
+def test_very_long_texts(encoder):
+    texts = ["a" * 200_000, " " * 200_000, "漢" * 100_000, "return value(" * 60_000, "\n" * 100_000]
+    assert encoder.encode(pa.array(texts)).to_pylist() == [encoder.plain(t) for t in texts]
