@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 #: A UUID in any usual spelling: case, white space around it, urn:uuid:, braces, with or without hyphens.
 UUID_SPELLING = r"^\s*(urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?\s*$"
+#: The usual one.
+_USUAL = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
 def uuid_hex(text: Column) -> Column:
     """The 32 lower-case hexadecimal digits of a UUID, null if the text is none."""
     low = F.lower(text)
-    return F.when(low.rlike(UUID_SPELLING), F.translate(F.replace(low, F.lit("urn:uuid:"), F.lit("")), "{}- \t\r\n\f\x0b", ""))
+    usual = (F.length(text) == 36) & text.rlike(_USUAL)
+    return F.when(usual, F.replace(low, F.lit("-"), F.lit(""))).when(low.rlike(UUID_SPELLING), F.translate(F.replace(low, F.lit("urn:uuid:"), F.lit("")), "{}- \t\r\n\f\x0b", ""))
 
 
 def hex_halves(hex32: Column) -> tuple[Column, Column]:

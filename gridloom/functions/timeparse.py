@@ -11,19 +11,21 @@ DAY = 24 * HOUR
 
 #: A date, a time of day and (optionally) an offset. A date alone is not a time.
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$"
+#: What a cast reads as it is.
+_USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 
 
 def iso_micros(text: Column) -> Column:
     """Microseconds since 1970 UTC of an ISO 8601 text; null if it is null or no valid ISO time. Without an offset it counts as UTC."""
     t = F.upper(F.trim(text))
-    sign = lambda at: F.substring(t, at, 1).isin("+", "-")
     zoned = (
-        F.when(F.endswith(t, F.lit("Z")) | ((F.substring(t, -3, 1) == ":") & sign(-6)), t)
-        .when((F.length(t) > 16) & sign(-5), F.regexp_replace(t, r"(\d{2})$", ":$1"))
+        F.when(t.rlike(r"(Z|[+-]\d{2}:\d{2})$"), t)
+        .when((F.length(t) > 16) & t.rlike(r"[+-]\d{4}$"), F.regexp_replace(t, r"(\d{2})$", ":$1"))
         .otherwise(F.concat(t, F.lit("Z")))
     )
     whole = F.when(F.substring(zoned, 17, 1) == ":", zoned).otherwise(F.concat(F.substring(zoned, 1, 16), F.lit(":00"), F.substring(zoned, 17, 9)))
-    return F.when(t.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(whole)))
+    read = lambda c: F.unix_micros(F.try_to_timestamp(c))
+    return F.when(text.rlike(_USUAL), read(text)).when(t.rlike(ISO_TIME), read(whole))
 
 
 def micros(col: Column, dtype: str) -> Column:
