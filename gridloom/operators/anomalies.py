@@ -27,6 +27,7 @@ class Limits:
     fence: float = 2.0  # interquartile ranges above the third quartile of the context
     peak: float = 0.9  # the quantile that stands for regular peaks of the context
     above_peak: float = 2.0  # times that
+    few: int = 10  # a context of fewer usable messages, whose own 0.9 quantile is its greatest value, takes the fence of the whole source
     top: float = 0.985  # the quantile that stands for a source's regular top
     top_positive: float = 0.96  # the same for measures of which only values above 0 are used
     shoulder: float = 0.97  # below the top, for sources of which a few spikes reach the top quantile
@@ -40,9 +41,11 @@ class Limits:
 
 
 def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], limits: Limits) -> DataFrame:
-    """Per source a struct for each measure: top, shoulder, most and fences (a map from context to its upper fence).
+    """Per source a struct for each measure: top, shoulder, most, fence and fences (a map from context to its upper fence).
 
-    measures: name -> whether only values above 0 are used (else values of 0 or more).
+    measures: name -> whether only values above 0 are used (else values of 0 or more). A context's regular peaks raise its fence, but
+    not if they lie as far above the source's top as spikes do: then they are spikes, and the interquartile fence stands alone.
+    Contexts of few values, and values without time, have the fence of the whole source.
     """
     context = F.coalesce(F.pmod(bucket_of(F.col(at), DAY // limits.contexts), F.lit(limits.contexts)), F.lit(-1)).cast("int").alias("_context")
     usable = lambda m: F.when((F.col(m) > 0 if measures[m] else F.col(m) >= 0) & ~F.isnan(m), F.col(m).cast("double"))
@@ -51,28 +54,36 @@ def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], l
     def at_rank(sketch: Column, rank: float) -> Column:
         return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(rank)))
 
+    def quartile_fence(sketch: Column) -> Column:
+        return at_rank(sketch, 0.75) + limits.fence * (at_rank(sketch, 0.75) - at_rank(sketch, 0.25))
+
     fenced = by_context.select(
         source,
         *measures,
         *["_most_" + m for m in measures],
-        *[
-            F.struct("_context", F.greatest(at_rank(F.col(m), 0.75) + limits.fence * (at_rank(F.col(m), 0.75) - at_rank(F.col(m), 0.25)), limits.above_peak * at_rank(F.col(m), limits.peak)).alias("fence")).alias("_fence_" + m)
-            for m in measures
-        ],
+        *[F.struct("_context", F.kll_sketch_get_n_double(m).alias("n"), quartile_fence(F.col(m)).alias("fence"), at_rank(F.col(m), limits.peak).alias("peak")).alias("_fence_" + m) for m in measures],
     )
     merged = fenced.groupBy(source).agg(
         *[F.kll_merge_agg_double(m, limits.sketch).alias(m) for m in measures],
         *[F.max("_most_" + m).alias("_most_" + m) for m in measures],
         *[F.collect_list("_fence_" + m).alias("_fence_" + m) for m in measures],  # at most contexts + 1 entries
     )
-    return merged.select(
+
+    def fences(m: str, top: Column) -> Column:
+        own = lambda e: F.when(e["peak"] > limits.jump * top, e["fence"]).otherwise(F.greatest(e["fence"], limits.above_peak * e["peak"]))
+        kept = F.filter("_fence_" + m, lambda e: (e["_context"] >= 0) & (e["n"] >= limits.few))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["_context"], own(e))))
+
+    tops = merged.select("*", *[at_rank(F.col(m), limits.top_positive if measures[m] else limits.top).alias("_top_" + m) for m in measures])
+    return tops.select(
         source,
         *[
             F.struct(
-                at_rank(F.col(m), limits.top_positive if measures[m] else limits.top).alias("top"),
+                F.col("_top_" + m).alias("top"),
                 at_rank(F.col(m), limits.shoulder if not measures[m] else limits.top_positive).alias("shoulder"),
                 F.col("_most_" + m).alias("most"),
-                F.map_from_entries("_fence_" + m).alias("fences"),
+                quartile_fence(F.col(m)).alias("fence"),
+                fences(m, F.col("_top_" + m)).alias("fences"),
             ).alias(m)
             for m in measures
         ],
@@ -83,7 +94,19 @@ def is_spike(value: Column, at: Column, profile: Column, limits: Limits) -> Colu
     """Whether value is far beyond what the profile of its source and measure shows."""
     context = F.coalesce(F.pmod(bucket_of(at, DAY // limits.contexts), F.lit(limits.contexts)), F.lit(-1)).cast("int")
     far = (value > limits.jump * profile["top"]) | ((value > limits.jump_shoulder * profile["shoulder"]) & (profile["most"] > limits.scatter * profile["top"]))
-    return F.coalesce(far & (profile["top"] > 0) & (value > F.coalesce(F.try_element_at(profile["fences"], context), F.lit(0.0))), F.lit(False))
+    return F.coalesce(far & (profile["top"] > 0) & (value > F.coalesce(F.try_element_at(profile["fences"], context), profile["fence"], F.lit(0.0))), F.lit(False))
+
+
+def on_days(rows: DataFrame, source: str, at: str, bucket: int = DAY) -> DataFrame:
+    """rows (with dedup.with_identity) of a source, spread by source and day; without a time, by their identity."""
+    placed = F.coalesce(bucket_of(F.col(at), bucket), F.pmod("_low", F.lit(64)))
+    return rows.filter(F.col(source).isNotNull()).withColumn("_day", placed).repartition(source, "_day")
+
+
+def once(placed: DataFrame, source: str, at: str, row: list[str], measures: dict[str, bool]) -> DataFrame:
+    """Each message of on_days once, as source, at and its measures; copies agree in them. A row without identifier is a message of its own."""
+    alone = F.when(F.col("_quotient").isNull(), F.struct(*row)).alias("_alone")
+    return placed.groupBy(source, "_day", at, *KEY, alone).agg(*[F.max(m).alias(m) for m in measures]).select(source, at, *measures)
 
 
 def stuck(rows: DataFrame, source: str, at: str, row: list[str], measures: dict[str, bool], limits: Limits, bucket: int = DAY) -> DataFrame:
@@ -142,7 +165,8 @@ def implausible(readings: DataFrame, sources: DataFrame, limits: Limits = Limits
     filled = lambda c: F.when(F.col(c).rlike(r"\S"), F.col(c))
     rows = readings.select(*row, "event_id", filled("meter_id").alias("_meter"), F.coalesce(filled("meter_id"), F.concat(F.lit("h:"), filled("household_id"))).alias("_source"), *measures, "at")
     known = sources.groupBy(filled("meter_id").alias("_meter")).agg(F.max("household_id").alias("_household"), F.max("has_solar").alias("has_solar"), F.max("solar_capacity_kw").alias("capacity")).filter("_meter is not null")
-    profile = sketches(rows, "_meter", "at", measures, limits).join(known, "_meter", "full")
+    series = with_identity(rows.filter("_meter is not null"), "event_id").select(*row, "_meter", *measures, "at", *KEY)
+    profile = sketches(once(on_days(series, "_meter", "at"), "_meter", "at", row, measures), "_meter", "at", measures, limits).join(known, "_meter", "full")
     held = [*measures, "has_solar", "capacity"]
     profile = profile.select(F.col("_meter").alias("_source"), F.struct(*held).alias("_p")).unionByName(
         profile.filter("_household is not null").groupBy(F.concat(F.lit("h:"), F.col("_household")).alias("_source")).agg(F.first(F.struct(*held)).alias("_p"))
@@ -163,6 +187,5 @@ def implausible(readings: DataFrame, sources: DataFrame, limits: Limits = Limits
     real = lambda v, why: F.when(~F.isnan(v), why)
     each = F.array(F.struct(F.lit("power_consumption_kwh").alias("measure"), real(use, why_use).alias("why")), F.struct(F.lit("solar_generation_kwh").alias("measure"), real(sun, why_sun).alias("why")))
     single = met.select(*row, F.explode(F.filter(each, lambda x: x["why"].isNotNull())).alias("_f")).select(*row, "_f.*")
-    series = with_identity(rows.filter("_meter is not null"), "event_id").select(*row, "_meter", *measures, "at", *KEY)
     runs = stuck(series, "_meter", "at", row, measures, limits).withColumn("why", F.lit("stuck"))
     return single.unionByName(runs).groupBy(*row, "measure").agg(F.min("why").alias("why"))

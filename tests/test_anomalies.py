@@ -139,3 +139,30 @@ def test_empty_and_unknown(spark):
     assert flags(spark, m, [("B", "hB", None, None)]) == {}
     df = spark.createDataFrame(m.rows, READ).withColumns({"why": F.lit("x"), "measure": F.lit("y"), "total": F.lit(1)})
     assert implausible(df, spark.createDataFrame([], HOME)).count() == 0
+
+
+def sunny(m, meter, days=14):
+    """Hours of sun as they usually are, by (day, hour)."""
+    return {(d, h): m.add(meter, d * DAY + h * HOUR, 0.5, round((0.05, 0.1, 0.2, 0.3, 0.35, 0.4, 0.4, 0.35, 0.25, 0.15, 0.1, 0.05)[h - 6] * m.rng.uniform(0.7, 1.3), 6)) for d in range(days) for h in range(6, 18)}
+
+
+def test_spikes_do_not_raise_the_fence_of_their_own_part_of_the_day(spark):
+    m = Meters()
+    sun = sunny(m, "S")
+    spikes = [sun[k] for k in ((2, 16), (8, 16), (10, 16), (12, 16), (5, 13))]  # of the 28 values from 16:00 more than a tenth
+    for k in spikes:
+        m.change(k, solar_generation_kwh=2.5)
+    few = m.usual("F", 24 * 14)
+    m.rows = [r for r in m.rows if not (r[3] == "F" and r[7] // HOUR % 24 < 4 and r[7] // DAY > 1)]  # 8 readings from 00:00
+    m.change(next(i for i, r in enumerate(m.rows) if r[1] == few[3]), power_consumption_kwh=30.0)
+    untimed = m.usual("U", 24 * 14)
+    m.change(next(i for i, r in enumerate(m.rows) if r[1] == untimed[50]), power_consumption_kwh=30.0, at=None)
+    assert flags(spark, m, [("S", "hS", True, 4.0), ("F", "hF", False, 0.0), ("U", "hU", False, 0.0)]) == {(k, "sun"): "spike" for k in spikes} | {(few[3], "use"): "spike", (untimed[50], "use"): "spike"}
+
+
+def test_copies_of_a_spike_do_not_make_it_regular(spark):
+    m = Meters()
+    a = m.usual("A")
+    m.change(a[100], power_consumption_kwh=40.0)
+    copies = [m.add("A", m.rows[a[100]][7], 40.0, event_id=m.rows[a[100]][2]) for _ in range(20)]
+    assert flags(spark, m, [("A", "hA", False, 0.0)]) == {(k, "use"): "spike" for k in [a[100], *copies]}
