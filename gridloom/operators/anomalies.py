@@ -1,7 +1,8 @@
 """Problem 6: implausible values, judged by what their source usually sends.
 
 Quantile sketches (KLL) are built per source, measure and hour-of-day context and merged across partitions, then across contexts.
-A value is a spike if it lies outside its context's expanded interquartile fence and far above the source's regular top.
+A value is a spike if it lies outside its context's expanded interquartile fence and far above the source's regular top, or if it
+rises from the message before and falls to the next at a rate that nothing else of its source explains.
 Zero variance over a run of messages is found along each source's timeline in time buckets, so that a hot source is spread over
 tasks; only the runs that touch a bucket's edge are followed from bucket to bucket.
 """
@@ -34,6 +35,8 @@ class Limits:
     jump: float = 2.6  # times the top
     jump_shoulder: float = 4.0  # times the shoulder, if the values above it don't lie close together (a rare regular peak)
     scatter: float = 1.6
+    apart: int = 3 * HOUR  # neighbours of a value tell its rate of change if they are no farther
+    often: int = 3  # days with a jump in one hour of the day make it a regular peak
     run: int = 8  # messages of one value
     level: float = 0.05  # a value is a level of its source if so large a share of its messages are in runs of it
     levels: float = 0.8  # a source has fixed levels if its levels make up so much of its messages
@@ -41,7 +44,7 @@ class Limits:
 
 
 def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], limits: Limits) -> DataFrame:
-    """Per source a struct for each measure: top, shoulder, most, fence and fences (a map from context to its upper fence).
+    """Per source a struct for each measure: top, shoulder, low, most, fence and fences (a map from context to its upper fence).
 
     measures: name -> whether only values above 0 are used (else values of 0 or more). A context's regular peaks raise its fence, but
     not if they lie as far above the source's top as spikes do: then they are spikes, and the interquartile fence stands alone.
@@ -81,6 +84,7 @@ def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], l
             F.struct(
                 F.col("_top_" + m).alias("top"),
                 at_rank(F.col(m), limits.shoulder if not measures[m] else limits.top_positive).alias("shoulder"),
+                F.when(F.kll_sketch_get_n_double(m) >= limits.few, at_rank(F.col(m), limits.peak)).alias("low"),
                 F.col("_most_" + m).alias("most"),
                 quartile_fence(F.col(m)).alias("fence"),
                 fences(m, F.col("_top_" + m)).alias("fences"),
@@ -109,6 +113,37 @@ def once(placed: DataFrame, source: str, at: str, row: list[str], measures: dict
     return placed.groupBy(source, "_day", at, *KEY, alone).agg(*[F.max(m).alias(m) for m in measures]).select(source, at, *measures)
 
 
+def jumps(placed: DataFrame, source: str, at: str, row: list[str], measures: dict[str, bool], profile: DataFrame, limits: Limits, bucket: int = DAY) -> DataFrame:
+    """row and measure of values that rise and fall again at an implausible rate: far above the messages before and after, and above
+    the 0.9 quantile (low) of their source and all that lasts there for two messages. Jumps that recur at one hour on several days are regular peaks.
+
+    placed: on_days. profile: source and _p, a struct with sketches' struct of each measure. Null and NaN values are passed over. A value whose
+    neighbours are farther than limits.apart, or missing, has no rate. Copies of a message aren't its neighbours.
+    """
+    by = [source, "_day"]
+    timed = placed.filter(F.col(at).isNotNull())
+    usable = lambda m: F.when((F.col(m) >= 0) & ~F.isnan(m), F.struct(F.col(at).alias("at"), F.col(m).cast("double").alias("v")))
+    days = timed.groupBy(*by).agg(*[f(usable(m)).alias(n + m) for m in measures for n, f in (("_last_", F.max), ("_first_", F.min))])
+    in_turn = Window.partitionBy(source).orderBy("_day")
+    edges = days.select(*by, *[F.lag("_last_" + m).over(in_turn).alias("_from_" + m) for m in measures], *[F.lead("_first_" + m).over(in_turn).alias("_to_" + m) for m in measures])
+    over = f"ignore nulls over (partition by {', '.join(by)} order by {', '.join([at, *KEY, *row])})"
+    copies = Window.partitionBy(*by, at, *KEY).orderBy(at, *KEY, *row).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = timed.withColumns({"_at_" + m: usable(m) for m in measures})
+    line = line.withColumns({n + m: F.expr(f"{f}(_at_{m}) {over}") for m in measures for n, f in (("_b_", "lag"), ("_a_", "lead"))})
+    line = line.withColumns({"_b_" + m: F.first("_b_" + m).over(copies) for m in measures} | {"_a_" + m: F.last("_a_" + m).over(copies) for m in measures})
+    each = [F.struct(F.lit(m).alias("measure"), F.col("_at_" + m)["v"].alias("v"), F.coalesce("_b_" + m, "_from_" + m).alias("b"), F.coalesce("_a_" + m, "_to_" + m).alias("a")) for m in measures]
+    near = lambda e: F.when(F.abs(e["at"] - F.col(at)) <= limits.apart, e["v"])
+    each = F.transform(F.array(*each), lambda x: F.struct(x["measure"], x["v"], near(x["b"]).alias("b"), near(x["a"]).alias("a")))
+    met = line.join(edges, by).select(source, at, *row, F.explode(each).alias("_x")).select(source, at, *row, "_x.*")
+    lasting = met.groupBy(source, "measure").agg(F.max(F.least("v", F.greatest("b", "a"))).alias("_lasting"))
+    alone = met.filter(F.col("v") > limits.jump * F.greatest("b", "a")).filter("a is not null and b is not null")
+    lows = profile.select(source, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col("_p")[m]["low"].alias("low")) for m in measures])).alias("_l")).select(source, "_l.*")
+    known = lows.filter("low > 0").join(lasting, [source, "measure"])
+    high = alone.join(known, [source, "measure"]).filter((F.col("v") > limits.jump_shoulder * F.col("low")) & (F.col("v") > limits.jump * F.col("_lasting")))
+    hour = Window.partitionBy(source, "measure", F.pmod(bucket_of(F.col(at), HOUR), F.lit(24)))
+    return high.withColumn("_days", F.size(F.collect_set(bucket_of(F.col(at), DAY)).over(hour))).filter(F.col("_days") < limits.often).select(*row, "measure")
+
+
 def stuck(rows: DataFrame, source: str, at: str, row: list[str], measures: dict[str, bool], limits: Limits, bucket: int = DAY) -> DataFrame:
     """row and measure of the values in runs of at least limits.run successive messages of one value.
 
@@ -166,7 +201,10 @@ def implausible(readings: DataFrame, sources: DataFrame, limits: Limits = Limits
     rows = readings.select(*row, "event_id", filled("meter_id").alias("_meter"), F.coalesce(filled("meter_id"), F.concat(F.lit("h:"), filled("household_id"))).alias("_source"), *measures, "at")
     known = sources.groupBy(filled("meter_id").alias("_meter")).agg(F.max("household_id").alias("_household"), F.max("has_solar").alias("has_solar"), F.max("solar_capacity_kw").alias("capacity")).filter("_meter is not null")
     series = with_identity(rows.filter("_meter is not null"), "event_id").select(*row, "_meter", *measures, "at", *KEY)
-    profile = sketches(once(on_days(series, "_meter", "at"), "_meter", "at", row, measures), "_meter", "at", measures, limits).join(known, "_meter", "full")
+    placed = on_days(series, "_meter", "at")
+    profile = sketches(once(placed, "_meter", "at", row, measures), "_meter", "at", measures, limits)
+    sudden = jumps(placed, "_meter", "at", row, measures, profile.select("_meter", F.struct(*measures).alias("_p")), limits).withColumn("why", F.lit("spike"))
+    profile = profile.join(known, "_meter", "full")
     held = [*measures, "has_solar", "capacity"]
     profile = profile.select(F.col("_meter").alias("_source"), F.struct(*held).alias("_p")).unionByName(
         profile.filter("_household is not null").groupBy(F.concat(F.lit("h:"), F.col("_household")).alias("_source")).agg(F.first(F.struct(*held)).alias("_p"))
@@ -188,4 +226,4 @@ def implausible(readings: DataFrame, sources: DataFrame, limits: Limits = Limits
     each = F.array(F.struct(F.lit("power_consumption_kwh").alias("measure"), real(use, why_use).alias("why")), F.struct(F.lit("solar_generation_kwh").alias("measure"), real(sun, why_sun).alias("why")))
     single = met.select(*row, F.explode(F.filter(each, lambda x: x["why"].isNotNull())).alias("_f")).select(*row, "_f.*")
     runs = stuck(series, "_meter", "at", row, measures, limits).withColumn("why", F.lit("stuck"))
-    return single.unionByName(runs).groupBy(*row, "measure").agg(F.min("why").alias("why"))
+    return single.unionByName(sudden).unionByName(runs).groupBy(*row, "measure").agg(F.min("why").alias("why"))

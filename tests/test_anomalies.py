@@ -166,3 +166,21 @@ def test_copies_of_a_spike_do_not_make_it_regular(spark):
     m.change(a[100], power_consumption_kwh=40.0)
     copies = [m.add("A", m.rows[a[100]][7], 40.0, event_id=m.rows[a[100]][2]) for _ in range(20)]
     assert flags(spark, m, [("A", "hA", False, 0.0)]) == {(k, "use"): "spike" for k in [a[100], *copies]}
+
+
+def test_isolated_jumps_are_spikes_even_if_there_are_many(spark):
+    m = Meters()
+    sun = sunny(m, "S")
+    spikes = [sun[k] for k in ((0, 12), (1, 8), (3, 14), (5, 9), (7, 11), (8, 15), (11, 10), (12, 13))]  # 5 % of the values
+    for k in spikes:
+        m.change(k, solar_generation_kwh=2.5)
+    a = m.usual("A")
+    six = [a[d * 24 + h] for d, h in ((1, 0), (3, 23), (5, 12), (7, 17), (9, 3), (12, 12))]  # the first and last hour: neighbours on other days
+    for k in six:
+        m.change(k, power_consumption_kwh=50.0)
+    m.change(a[5 * 24 + 11], power_consumption_kwh=None)  # passed over
+    copy = m.add("A", m.rows[six[3]][7], 50.0, event_id=m.rows[six[3]][2])
+    b = m.usual("B")
+    for d in (1, 4, 6, 8, 10, 12):  # a regular peak
+        m.change(b[d * 24 + 19], power_consumption_kwh=50.0)
+    assert flags(spark, m, [("S", "hS", True, 4.0), ("A", "hA", False, 0.0), ("B", "hB", False, 0.0)]) == {(k, "sun"): "spike" for k in spikes} | {(k, "use"): "spike" for k in [*six, copy]}
