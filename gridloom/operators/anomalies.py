@@ -39,7 +39,7 @@ class Limits:
     often: int = 3  # days with a jump in one hour of the day make it a regular peak
     run: int = 8  # messages of one value
     level: float = 0.05  # a value is a level of its source if so large a share of its messages are in runs of it
-    levels: float = 0.8  # a source has fixed levels if its levels make up so much of its messages
+    levels: float = 0.95  # a source has fixed levels if its levels make up so much of its messages
     night: tuple[int, int] = (20, 4)  # hours without sun: from, before
 
 
@@ -178,11 +178,11 @@ def stuck(rows: DataFrame, source: str, at: str, row: list[str], measures: dict[
     positive = [m for m, p in measures.items() if p]
     fit = F.col("value").isNotNull() & (~F.col("measure").isin(positive) | (F.col("value") > 0))
     found = inner.unionByName(edge.drop("_starts")).filter(fit & (F.col("total") >= limits.run)).select(*by, "measure", "run")
-    # sources with fixed levels: values that come back and back, or (of measures that are never off) one that hardly ever changes
+    # sources with fixed levels: values that come back and back, or (of measures that are never off) the only one ever sent
     total = runs.filter("last").groupBy(source, "measure").agg(F.sum("in_day").alias("in_all"))
     whole = inner.unionByName(edge.filter("_starts = 1").drop("_starts")).filter(fit & (F.col("total") > 1))
     level = whole.groupBy(source, "measure", "value").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("times")).join(total, [source, "measure"])
-    level = level.filter((F.col("n") >= limits.level * F.col("in_all")) & (~F.col("measure").isin(positive) | (F.col("times") > 1)))
+    level = level.filter((F.col("n") >= limits.level * F.col("in_all")) & ((F.col("times") > 1) | (~F.col("measure").isin(positive) & (F.col("n") >= F.col("in_all")))))
     fixed = level.groupBy(source, "measure").agg((F.sum("n") / F.first("in_all")).alias("share")).filter(F.col("share") >= limits.levels).select(source, "measure")
     return near.join(found.join(fixed, [source, "measure"], "left_anti"), [*by, "measure", "run"], "left_semi").select(*row, "measure")
 

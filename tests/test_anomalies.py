@@ -184,3 +184,19 @@ def test_isolated_jumps_are_spikes_even_if_there_are_many(spark):
     for d in (1, 4, 6, 8, 10, 12):  # a regular peak
         m.change(b[d * 24 + 19], power_consumption_kwh=50.0)
     assert flags(spark, m, [("S", "hS", True, 4.0), ("A", "hA", False, 0.0), ("B", "hB", False, 0.0)]) == {(k, "sun"): "spike" for k in spikes} | {(k, "use"): "spike" for k in [*six, copy]}
+
+
+def test_a_long_jam_is_no_fixed_level(spark):
+    m = Meters()
+    jam = m.usual("J")
+    for k in jam[48:]:  # 12 of 14 days
+        m.change(k, power_consumption_kwh=0.777)
+    m.change(jam[200], power_consumption_kwh=None)  # in two runs
+    short = m.usual("K", 10)
+    for k in short[1:]:
+        m.change(k, power_consumption_kwh=0.5)
+    for h in range(24 * 14):
+        m.add("one", h * HOUR, 0.27)
+    rows = with_identity(spark.createDataFrame(m.rows, READ), "event_id")
+    out = stuck(rows, "meter_id", "at", ["log_partition", "log_offset"], {"power_consumption_kwh": False}, Limits())
+    assert {r.log_offset for r in out.collect()} == {*jam[48:], *short[1:]} - {jam[200]}
