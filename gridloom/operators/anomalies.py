@@ -134,7 +134,7 @@ def jumps(placed: DataFrame, source: str, at: str, row: list[str], measures: dic
     each = [F.struct(F.lit(m).alias("measure"), F.col("_at_" + m)["v"].alias("v"), F.coalesce("_b_" + m, "_from_" + m).alias("b"), F.coalesce("_a_" + m, "_to_" + m).alias("a")) for m in measures]
     near = lambda e: F.when(F.abs(e["at"] - F.col(at)) <= limits.apart, e["v"])
     each = F.transform(F.array(*each), lambda x: F.struct(x["measure"], x["v"], near(x["b"]).alias("b"), near(x["a"]).alias("a")))
-    met = line.join(edges, by).select(source, at, *row, F.explode(each).alias("_x")).select(source, at, *row, "_x.*")
+    met = line.join(edges, by).select(source, at, *row, F.explode(each).alias("_x")).select(source, at, *row, "_x.*").filter("v is not null")
     lasting = met.groupBy(source, "measure").agg(F.max(F.least("v", F.greatest("b", "a"))).alias("_lasting"))
     alone = met.filter(F.col("v") > limits.jump * F.greatest("b", "a")).filter("a is not null and b is not null")
     lows = profile.select(source, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col("_p")[m]["low"].alias("low")) for m in measures])).alias("_l")).select(source, "_l.*")
