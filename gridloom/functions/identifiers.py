@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A UUID in any usual spelling: case, white space around it, urn:uuid:, braces, with or without hyphens.
@@ -20,12 +20,13 @@ def uuid_hex(text: Column) -> Column:
 
 def hex_halves(hex32: Column) -> tuple[Column, Column]:
     """32 hexadecimal digits as two longs (bit patterns)."""
-    word = lambda at: F.conv(F.substring(hex32, at, 8), 16, 10).cast("bigint")
-    return F.shiftleft(word(1), 32).bitwiseOR(word(9)), F.shiftleft(word(17), 32).bitwiseOR(word(25))
+    word = lambda at: F.conv(F.substring(hex32, at, 16), 16, -10).cast("bigint")
+    return word(1), word(17)
 
 
-def permuted(high: Column, low: Column) -> tuple[Column, Column]:
-    """A bijection of 128-bit values (a Feistel network of three rounds): equal outputs mean equal inputs, and every bit of the first half depends on all of the identifier."""
-    a = low.bitwiseXOR(F.xxhash64(high, F.lit(1)))
-    b = high.bitwiseXOR(F.xxhash64(a, F.lit(2)))
-    return b, a.bitwiseXOR(F.xxhash64(b, F.lit(3)))
+def permuted(df: DataFrame, high: str, low: str) -> DataFrame:
+    """Columns high and low (longs) put through a bijection of 128-bit values, a Feistel network of three rounds: equal outputs mean
+    equal inputs, and every bit of the first half depends on all of the identifier. Nulls stay null."""
+    for half, other, seed in ((low, high, 1), (high, low, 2), (low, high, 3)):  # a projection each, so that nothing is computed twice
+        df = df.withColumn(half, F.col(half).bitwiseXOR(F.xxhash64(other, F.lit(seed))))
+    return df

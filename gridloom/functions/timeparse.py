@@ -16,16 +16,16 @@ _USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 
 
 def iso_micros(text: Column) -> Column:
-    """Microseconds since 1970 UTC of an ISO 8601 text; null if it is null or no valid ISO time. Without an offset it counts as UTC."""
-    t = F.upper(F.trim(text))
-    zoned = (
-        F.when(t.rlike(r"(Z|[+-]\d{2}:\d{2})$"), t)
-        .when((F.length(t) > 16) & t.rlike(r"[+-]\d{4}$"), F.regexp_replace(t, r"(\d{2})$", ":$1"))
-        .otherwise(F.concat(t, F.lit("Z")))
-    )
-    whole = F.when(F.substring(zoned, 17, 1) == ":", zoned).otherwise(F.concat(F.substring(zoned, 1, 16), F.lit(":00"), F.substring(zoned, 17, 9)))
+    """Microseconds since 1970 UTC of an ISO 8601 text; null if it is null or no valid ISO time. Without an offset it counts as UTC.
+
+    The expression is kept small: code beyond what the JVM compiles runs several times as long.
+    """
     read = lambda c: F.unix_micros(F.try_to_timestamp(c))
-    return F.when(text.rlike(_USUAL), read(text)).when(t.rlike(ISO_TIME), read(whole))
+    t = F.upper(F.trim(text))
+    # seconds where there are none, a colon in the offset, Z where there is no offset
+    whole = F.regexp_replace(t, r"^(.{10})[T ](\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1T$2:00$3")
+    whole = F.regexp_replace(F.regexp_replace(whole, r"^(.{16,}[+-]\d{2})(\d{2})$", "$1:$2"), r"^(.{10}[T ][\d:.]+)$", "$1Z")
+    return F.coalesce(F.when(text.rlike(_USUAL), read(text)), F.when(t.rlike(ISO_TIME), read(whole)))
 
 
 def micros(col: Column, dtype: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,31 @@ class KeyedTable:
 
     def _manifest(self) -> dict:
         names = self.files.names("_manifests")
-        return json.loads(self.files.read(f"_manifests/{names[-1]}")) if names else {"version": 0, "parts": {}, "batches": {}}
+        return {"notes": {}} | json.loads(self.files.read(f"_manifests/{names[-1]}")) if names else {"version": 0, "parts": {}, "batches": {}, "notes": {}}
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def read(self) -> DataFrame:
-        return self._read(sorted(self._manifest()["parts"].values()))
+    def read(self, parts: list[str] | None = None) -> DataFrame:
+        """All rows, or those of some parts (those that there are): no file of another part is opened."""
+        there = self._manifest()["parts"]
+        return self._read(sorted(f for p, f in there.items() if parts is None or p in parts))
+
+    @property
+    def parts(self) -> list[str]:
+        return sorted(self._manifest()["parts"])
+
+    @property
+    def batches(self) -> dict[str, int]:
+        """The last batch of each writer."""
+        return self._manifest()["batches"]
+
+    @property
+    def notes(self) -> dict:
+        """What the last replacement published along with its content."""
+        return self._manifest()["notes"]
 
     @property
     def version(self) -> int:
@@ -101,14 +118,14 @@ class KeyedTable:
             stays = old.withColumn(self.PARTS, part_of).join(gone, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in self.keys], "left_anti")
             version = now["version"] + 1
             folder = f"v{version:08d}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-            fresh_rows.select(*columns, self.PARTS).unionByName(stays.select(*columns, self.PARTS)).withColumn("_folder", F.col(self.PARTS)).drop(self.PARTS).write.partitionBy("_folder").parquet(f"{self.path}/{folder}")
+            fresh_rows.select(*columns, self.PARTS).unionByName(stays.select(*columns, self.PARTS)).withColumn("_folder", F.col(self.PARTS)).drop(self.PARTS).hint("rebalance", "_folder").write.partitionBy("_folder").parquet(f"{self.path}/{folder}")
             written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("_folder=")}
             if len(written) != len(touched):
                 raise RuntimeError("a part was lost in writing")
             names = {self._escaped(p): p for p in touched}
             parts = now["parts"] | {names[k]: v for k, v in written.items()}
             batches = now["batches"] | ({writer: batch_id} if batch_id is not None else {})
-            if not self.files.publish(f"_manifests/{version:08d}.json", json.dumps({"version": version, "parts": parts, "batches": batches})):
+            if not self.files.publish(f"_manifests/{version:08d}.json", json.dumps({"version": version, "parts": parts, "batches": batches, "notes": now["notes"]})):
                 raise Conflict(self.path)
             return version
         finally:
@@ -117,23 +134,28 @@ class KeyedTable:
     def _escaped(self, value: str) -> str:
         return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
-    def replace(self, rows: DataFrame) -> int:
-        """A whole new content, published at once."""
+    def replace(self, rows: DataFrame, replaced: Callable[[str], bool] = lambda part: True, notes: dict | None = None) -> int:
+        """New content for the parts that `replaced` names (all of them by default), published at once and with notes; rows must belong to such parts."""
         now = self._manifest()
         version = now["version"] + 1
         folder = f"v{version:08d}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
         part_of = F.coalesce(F.col(self.part).cast("string"), F.lit("null")) if self.part else F.lit("all")
         cast = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
-        cast.withColumn("_folder", part_of).write.partitionBy("_folder").parquet(f"{self.path}/{folder}")
-        values = {self._escaped(r[0]): r[0] for r in cast.select(part_of.alias("p")).distinct().collect()}
-        parts = {values[n.split("=", 1)[1]]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("_folder=")}
-        if not self.files.publish(f"_manifests/{version:08d}.json", json.dumps({"version": version, "parts": parts, "batches": now["batches"]})):
+        cast.withColumn("_folder", part_of).hint("rebalance", "_folder").write.partitionBy("_folder").parquet(f"{self.path}/{folder}")
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        fresh = {unescape(n.split("=", 1)[1]): f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("_folder=")}
+        if not all(map(replaced, fresh)):
+            raise ValueError("rows of a part that is not replaced")
+        parts = {p: f for p, f in now["parts"].items() if not replaced(p)} | fresh
+        if not self.files.publish(f"_manifests/{version:08d}.json", json.dumps({"version": version, "parts": parts, "batches": now["batches"], "notes": now["notes"] if notes is None else notes})):
             raise Conflict(self.path)
         return version
 
     def vacuum(self) -> None:
-        """Deletes the folders that the current manifest does not name; no reader of an older one may be at work."""
+        """Deletes the folders and manifests that are no longer current; no reader of an older one may be at work."""
         named = {f.split("/")[0] for f in self._manifest()["parts"].values()}
         for n in self.files.names(""):
             if n.startswith("v") and n not in named:
                 self.files.delete(n)
+        for n in self.files.names("_manifests")[:-1]:
+            self.files.delete(f"_manifests/{n}")

@@ -1,8 +1,11 @@
+import random
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.operators.dedup import first_copies, later_copies, with_identity
+from gridloom.operators.dedup import SALTS, first_copies, later_copies, with_identity
+from gridloom.store.quotients import QuotientTables
 
 SCHEMA = "event_id string, at bigint, off bigint, part int, v double"
 TIE = ["off", "part"]
@@ -60,3 +63,40 @@ def test_empty_and_clashing_names(spark):
     assert later_copies(df, "event_id", F.col("at"), TIE).count() == 0
     more = frame(spark, [(None, 1, 1, 1, 1.0)]).withColumns({"n": F.lit(1), "kept": F.lit(2), "quotient": F.lit(3), "first": F.lit(4)})
     assert first_copies(more, "event_id", F.col("at"), TIE, ["n", "kept", "quotient", "first"]).first()["first"] == 4
+
+
+def test_copies_of_a_hot_message_are_looked_up_in_many_parts(spark):
+    hot = str(uuid.UUID(int=7))
+    df = frame(spark, [(hot, i, i, 0, 0.0) for i in range(2000)])
+    lost = later_copies(df, "event_id", F.col("at"), TIE)
+    assert lost.count() == 1999
+    salts = df.select(F.pmod(F.xxhash64(*TIE), F.lit(SALTS))).distinct().count()
+    assert salts == SALTS
+
+
+def test_tables_kept_between_batches(spark, tmp_path):
+    rng = random.Random(2)
+    ids = [str(uuid.UUID(int=i)) for i in range(60)] + ["serial", None, "  "]
+    rows = [(i.upper() if i and rng.random() < 0.3 else i, rng.randrange(100), k, 0, float(k)) for k, i in enumerate(rng.choice(ids) for _ in range(300))]
+    t = QuotientTables(spark, str(tmp_path / "q"), {"off": T.LongType(), "part": T.IntegerType()}, shard_bits=2)
+    first = t.unknown(frame(spark, rows[:100]), "event_id")
+    assert first.count() == 100  # nothing is known yet
+    for k, at in enumerate((0, 100, 200)):
+        t.insert(frame(spark, rows[at : at + 100]), "event_id", F.col("at"), batch_id=k)
+        t.insert(frame(spark, rows[at : at + 100]), "event_id", F.col("at"), batch_id=k)  # run again
+    df = frame(spark, rows)
+    want = {tuple(r) for r in later_copies(df, "event_id", F.col("at"), TIE).collect()}
+    got = [tuple(r) for r in t.later(df, "event_id", F.col("at")).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert t.table.read().agg(F.sum("_n")).first()[0] == sum(1 for r in rows if r[0] and r[0].strip())
+    assert {r.event_id for r in t.unknown(df, "event_id").collect()} == {None, "  "}
+
+
+def test_a_batch_touches_only_its_shards(spark, tmp_path):
+    t = QuotientTables(spark, str(tmp_path / "q"), {"off": T.LongType(), "part": T.IntegerType()}, shard_bits=4)
+    t.insert(frame(spark, [(str(uuid.UUID(int=i)), 0, i, 0, 0.0) for i in range(200)]), "event_id", F.col("at"))
+    before = t.table._manifest()["parts"]
+    assert len(before) == 16
+    t.insert(frame(spark, [(str(uuid.UUID(int=5)), 1, 999, 0, 0.0)]), "event_id", F.col("at"))
+    after = t.table._manifest()["parts"]
+    assert sum(before[p] != after[p] for p in before) == 1

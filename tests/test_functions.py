@@ -1,8 +1,12 @@
 import random
 import uuid
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions.amounts import decimal_of
+
 from gridloom.functions.identifiers import hex_halves, permuted, uuid_hex
 from gridloom.functions.timeparse import DAY, HOUR, bucket_of, iso_micros, micros, micros_text
 
@@ -63,5 +67,17 @@ def test_permutation_is_one_to_one(spark):
     rng = random.Random(3)
     hexes = {f"{rng.getrandbits(128):032x}" for _ in range(2000)} | {f"{i:032x}" for i in range(500)} | {f"{i << 64:032x}" for i in range(1, 500)} | {"f" * 32}
     df = column(spark, sorted(hexes))
-    out = df.select(F.struct(*hex_halves(F.col("x"))).alias("h"), F.struct(*permuted(*hex_halves(F.col("x")))).alias("p")).agg(F.count_distinct("h"), F.count_distinct("p"), F.count_distinct(F.shiftrightunsigned(F.col("p").getField("col1"), 60))).first()
+    high, low = hex_halves(F.col("x"))
+    halves = df.select(F.struct(high, low).alias("h"), high.alias("a"), low.alias("b"))
+    out = permuted(halves, "a", "b").agg(F.count_distinct("h"), F.count_distinct("a", "b"), F.count_distinct(F.shiftrightunsigned("a", 60))).first()
     assert tuple(out) == (len(hexes), len(hexes), 16)
+    row = df.filter(f"x = '{'f' * 32}'").select(high, low).first()
+    assert tuple(row) == (-1, -1)
+
+
+def test_sums_drop_nothing(spark):
+    df = column(spark, [1e21, 0.0000005, float("nan"), None, -2.0], "double")
+    assert [r[0] for r in df.select(decimal_of(F.col("x"), 28, 6)).collect()] == [Decimal("1e21"), Decimal("0.000001"), None, None, Decimal(-2)]
+    for much in (1e22, float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="too large for a sum"):
+            column(spark, [much], "double").select(decimal_of(F.col("x"), 28, 6)).collect()
