@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.changefeed import apply_changes, operation, signed_images
+from gridloom.operators.changefeed import advance, apply_changes, operation, signed_images, standing
 
 FEED = "h string, op string, at bigint, seq bigint, off bigint, rate double"
 ARGS = ("h", "op", "at", "seq", ["off"], ["rate"])
@@ -47,4 +47,31 @@ def test_base_and_empty_feed(spark):
 def test_images_cancel(spark):
     feed = spark.createDataFrame([("a", "i", 1, 1, 1, 5.0), ("a", "u", 2, 2, 2, 6.0), ("a", "d", 3, 3, 3, None)], FEED)
     images = signed_images(feed, "h", "op", "at", "seq", ["rate"])
-    assert images.agg(F.sum("multiplicity")).first()[0] == 0 and images.count() == 4
+    assert images.count() == 5
+    left = images.groupBy("op", "at", "seq", "rate").agg(F.sum("multiplicity").alias("n")).filter("n <> 0").collect()
+    assert [tuple(r) for r in left] == [("d", 3, 3, None, 1)]  # the tombstone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_split_of_a_shuffled_feed_ends_as_the_whole(spark, seed):
+    rng = random.Random(seed)
+    feed = []
+    for seq in range(120):
+        op = rng.choice("iud")
+        feed += [(rng.choice("aaab"), op, rng.randrange(40), seq, None if op == "d" else float(seq % 3))] * rng.choice([1, 1, 3])
+    rng.shuffle(feed)
+    feed = [(*r[:4], off, r[4]) for off, r in enumerate(feed)]
+    whole = sorted(map(tuple, apply_changes(spark.createDataFrame(feed, FEED), *ARGS).collect()))
+    state, at = None, 0
+    while at < len(feed):
+        n = rng.choice([1, 60, 100])
+        state = spark.createDataFrame(advance(state, spark.createDataFrame(feed[at : at + n], FEED), *ARGS).collect(), "h string, op string, at bigint, seq bigint, off bigint, rate double")
+        at += n
+    assert sorted(map(tuple, standing(state, "op").drop("off").select("h", "at", "seq", "rate").collect())) == sorted((r[0], *r[1:]) for r in whole)
+
+
+def test_a_late_change_does_not_bring_back_what_was_deleted(spark):
+    one = advance(None, spark.createDataFrame([("a", "i", 1, 1, 1, 5.0), ("a", "d", 3, 3, 2, None)], FEED), *ARGS)
+    two = advance(one, spark.createDataFrame([("a", "u", 2, 2, 3, 6.0)], FEED), *ARGS)
+    assert standing(two, "op").count() == 0 and [r.op for r in two.collect()] == ["d"]
+    assert apply_changes(spark.createDataFrame([("a", "u", 2, 2, 3, 6.0)], FEED), *ARGS, base=one).count() == 0
