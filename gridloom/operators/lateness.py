@@ -1,9 +1,9 @@
 """Problem 5: aggregates by event time, corrected as late records arrive, with a cut-off: Lambda views.
 
-The fast layer adds each new record to the provisional totals of its window. A scheduled batch recomputes the windows that are
-still open from the full log and replaces what the fast layer had; a window whose cut-off has passed at a batch is frozen. A view is
-therefore the last batch's totals plus the fast layer's increments since. Here both are sums of one pass over the log,
-told apart by publication time against the last scheduled batch; `LambdaStore` (streaming/lambda_store.py) keeps them as tables.
+The fast layer adds the messages that are new to the provisional totals of their window. A scheduled batch recomputes the windows that are
+still open from the full log and replaces what the fast layer had; a window whose cut-off has passed at a batch is frozen, and
+neither layer reads or changes it again. A view is the last batch's totals plus the fast layer's increments since. Here is what
+both layers compute; `LambdaStore` (streaming/lambda_store.py) keeps them as tables.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.timeparse import HOUR, floor_to
+from gridloom.functions.amounts import decimal_of
+from gridloom.functions.timeparse import floor_to
 
 #: Exact, so that sums do not depend on the order of arrival.
-ENERGY = "decimal(28,9)"
+ENERGY = "decimal(38,9)"
 
 
 def exact(value: Column) -> Column:
-    """A measured value for summing: null, NaN and infinities add nothing."""
-    return F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < 1e18), value).try_cast(ENERGY), F.lit(0).cast(ENERGY))
+    """A measured value for summing: null and NaN add nothing, infinities and values of 10^29 or more raise an error."""
+    return F.coalesce(decimal_of(value, 38, 9), F.lit(0).cast(ENERGY))
 
 
 def last_batch(as_of: int, every: int) -> int:
@@ -27,35 +28,23 @@ def last_batch(as_of: int, every: int) -> int:
     return as_of - as_of % every
 
 
-def lambda_views(log: DataFrame, keys: list[str], event_at: str, published_at: str, sums: dict[str, str], window: int, cutoff: int, as_of: int, every: int = 6 * HOUR) -> DataFrame:
-    """The views as of an instant: keys, window_at (microseconds), per sum its total and provisional part, counted, late_dropped, state.
+def first_open(now: int, window: int, cutoff: int) -> int:
+    """The start of the first window that is still open at a batch: earlier ones had their cut-off."""
+    return (now - window - cutoff) // window * window + window
 
-    Counted are the records published not after as_of, with non-null keys and event time, and published no later than cutoff
-    after their event (that may lie ahead of publication). sums maps output names to columns. state: 'frozen' if the window
-    took its last correction in a batch (its cut-off passed before the last scheduled batch), else 'open'. Each message must be in the log once. Hot windows and keys
-    are summed on the map side first.
+
+def window_totals(messages: DataFrame, keys: list[str], event_at: str, published_at: str, sums: dict[str, str], window: int, cutoff: int) -> DataFrame:
+    """keys, window_at (microseconds), the sums and counted, of windows with counted messages.
+
+    Counted are messages with non-null keys, event time and publication time that were published no later than cutoff after their
+    event (that may lie ahead of publication). sums maps output names to columns. Each message must come once. Hot windows and keys are
+    summed on the map side first.
     """
-    batch_at = last_batch(as_of, every)
-    here = log.filter(F.col(event_at).isNotNull() & F.col(published_at).isNotNull() & (F.col(published_at) <= F.lit(as_of)))
-    for k in keys:
-        here = here.filter(F.col(k).isNotNull())
     counted = F.col(published_at) - F.col(event_at) <= F.lit(cutoff)
-    fast = F.col(published_at) > F.lit(batch_at)
-    aggs = [F.count_if(counted).alias("counted"), F.count_if(~counted).alias("late_dropped")]
-    for name, column in sums.items():
-        v = exact(F.col(column))
-        aggs += [F.sum(F.when(counted & ~fast, v)).alias("_batch_" + name), F.sum(F.when(counted & fast, v)).alias("_fast_" + name)]
-    views = here.groupBy(*keys, floor_to(F.col(event_at), window).alias("window_at")).agg(*aggs)
-    none = F.lit(0).cast(ENERGY)
-    return views.select(
-        *keys,
-        "window_at",
-        *[(F.coalesce("_batch_" + n, none) + F.coalesce("_fast_" + n, none)).alias(n) for n in sums],
-        *[F.coalesce("_fast_" + n, none).alias("provisional_" + n) for n in sums],
-        "counted",
-        "late_dropped",
-        F.when(F.col("window_at") + F.lit(window + cutoff) <= F.lit(batch_at), "frozen").otherwise("open").alias("state"),
-    )
+    for k in keys:
+        counted = counted & F.col(k).isNotNull()
+    grouped = messages.filter(counted).groupBy(*keys, floor_to(F.col(event_at), window).alias("window_at"))
+    return grouped.agg(*[F.sum(exact(F.col(c))).cast(ENERGY).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("counted"))
 
 
 def windows_to_correct(views: DataFrame, published: DataFrame, keys: list[str], sums: dict[str, str], tolerance: float) -> DataFrame:

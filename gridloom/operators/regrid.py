@@ -35,15 +35,26 @@ def increments(readings: DataFrame, source: str, at: str, value: str, counter: b
     return chained.select(source, at, begin.alias("begin"), amount.alias("amount"))
 
 
-def spread(pieces: DataFrame, source: str, at: str, step: int = HOUR) -> DataFrame:
-    """Increments by grid cell: source, cell (its number), amount, covered (microseconds) and readings (1 in the cell of at)."""
-    cells = F.sequence(bucket_of(F.col("begin"), step), bucket_of(F.col(at), step))
-    each = pieces.withColumn("cell", F.explode(cells))
-    low, high = F.greatest(F.col("begin"), F.col("cell") * step), F.least(F.col(at), (F.col("cell") + 1) * step)
+def spread(pieces: DataFrame, source: str, at: str, step: int = HOUR, period: int = DAY) -> DataFrame:
+    """Increments by grid cell: source, cell (its number), cells, amount, covered (microseconds) and readings (1 in the cell of at).
+
+    Cells are those of the periods in which the increment begins and ends; the whole periods between come as one row, whose `cells` is
+    their number of cells (else 1), however long the gap was.
+    """
+    per = period // step
+    first, last = bucket_of(F.col("begin"), step), bucket_of(F.col(at), step)
+    whole = lambda c: c - F.pmod(c, F.lit(per).cast("bigint"))
+    begins, ends = whole(first) + F.lit(per).cast("bigint"), whole(last)  # of the periods between
+    one = lambda low, high: F.transform(F.sequence(low, high), lambda c: F.struct(c.alias("cell"), F.lit(1).cast("bigint").alias("cells")))
+    between = F.array(F.struct(begins.alias("cell"), (ends - begins).alias("cells")))
+    # of the array's parts only those that are wanted are built
+    parts = F.when(ends < begins, one(first, last)).when(ends == begins, F.concat(one(first, begins - 1), one(ends, last))).otherwise(F.concat(one(first, begins - 1), between, one(ends, last)))
+    each = pieces.withColumn("_c", F.explode(parts)).select(source, at, "begin", "amount", "_c.cell", "_c.cells")
+    low, high = F.greatest(F.col("begin"), F.col("cell") * step), F.least(F.col(at), (F.col("cell") + F.col("cells")) * step)
     covered = F.greatest(high - low, F.lit(0))
-    here = F.col("cell") == bucket_of(F.col(at), step)
+    here = (F.col("cell") == last) & (F.col("cells") == 1)
     share = F.when(F.col(at) > F.col("begin"), covered / (F.col(at) - F.col("begin"))).otherwise(here.cast("double"))
-    return each.filter(here | (covered > 0)).select(source, "cell", (F.col("amount") * share).alias("amount"), covered.alias("covered"), here.cast("int").alias("readings"))
+    return each.filter(here | (covered > 0)).select(source, "cell", "cells", (F.col("amount") * share).alias("amount"), covered.alias("covered"), here.cast("int").alias("readings"))
 
 
 def regular_grid(readings: DataFrame, source: str, at: str, value: str, counter: bool = False, step: int = HOUR, period: int = DAY, span: int = HOUR) -> DataFrame:
@@ -51,26 +62,32 @@ def regular_grid(readings: DataFrame, source: str, at: str, value: str, counter:
 
     Columns: source, cell_start (microseconds), amount (sum of the increments' shares, null if none is known), covered
     (microseconds of the cell within some reading's interval, at most the step), readings, status: 'observed', 'filled' (no
-    reading in the cell, but an increment reaches into it) or 'missing'. period must be a multiple of step. What of an increment
-    falls in a period without readings comes out too, as cells of that period with readings 0 and in_use false; in_use is true
-    for periods with a reading. An empty table gives an empty grid.
+    reading in the cell, but an increment reaches into it) or 'missing', and cells. period must be a multiple of step. in_use is true
+    for periods with a reading. What of an increment falls in periods without readings comes out too, with readings 0 and in_use
+    false: the period it begins in as cells, the whole periods between two readings as one row of as many `cells` (else 1).
+    An empty table gives an empty grid.
     """
     per = period // step
     pieces = increments(readings, source, at, value, counter, span)
-    cells = spread(pieces, source, at, step).groupBy(source, "cell").agg(F.sum("amount").alias("amount"), F.sum("covered").alias("covered"), F.sum("readings").alias("readings"))
+    cells = spread(pieces, source, at, step, period).groupBy(source, "cell", "cells").agg(F.sum("amount").alias("amount"), F.sum("covered").alias("covered"), F.sum("readings").alias("readings"))
     group = (F.col("cell") - F.pmod(F.col("cell"), F.lit(per).cast("bigint"))).alias("_first")
-    found = F.struct(F.pmod(F.col("cell"), F.lit(per).cast("bigint")).alias("k"), "amount", "covered", "readings")
-    # at most period / step entries
-    periods = cells.groupBy(source, group).agg(F.map_from_entries(F.collect_list(F.struct(found["k"], found))).alias("_found"), (F.sum("readings") > 0).alias("in_use"))
-    each = periods.select(source, "_first", "_found", "in_use", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per - 1).cast("bigint"))).alias("_k"))
+    single = F.when(F.col("cells") == 1, F.struct(F.pmod(F.col("cell"), F.lit(per).cast("bigint")).alias("k"), "amount", "covered", "readings"))
+    gap = F.when(F.col("cells") > 1, F.struct("cells", "amount", "covered"))
+    # at most period / step entries; a gap begins a period in which nothing else lies
+    periods = cells.groupBy(source, group).agg(F.collect_list(single).alias("_found"), F.max(gap).alias("_gap"), (F.sum("readings") > 0).alias("in_use"))
+    found = F.map_from_entries(F.transform("_found", lambda x: F.struct(x["k"], x)))
+    slots = F.when(F.col("_gap").isNotNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(per - 1).cast("bigint")))
+    each = periods.select(source, "_first", found.alias("_found"), "_gap", "in_use", F.explode(slots).alias("_k"))
     cell = F.try_element_at("_found", F.col("_k"))
     n = F.coalesce(cell["readings"], F.lit(0))
+    covered = F.coalesce(F.col("_gap")["covered"], cell["covered"], F.lit(0))
     return each.select(
         source,
         ((F.col("_first") + F.col("_k")) * F.lit(step)).alias("cell_start"),
-        cell["amount"].alias("amount"),
-        F.least(F.coalesce(cell["covered"], F.lit(0)), F.lit(step)).alias("covered"),
+        F.coalesce(F.col("_gap")["amount"], cell["amount"]).alias("amount"),
+        F.least(covered, F.coalesce(F.col("_gap")["cells"], F.lit(1)) * F.lit(step)).alias("covered"),
         n.alias("readings"),
-        F.when(n > 0, "observed").when(cell["covered"] > 0, "filled").otherwise("missing").alias("status"),
+        F.when(n > 0, "observed").when(covered > 0, "filled").otherwise("missing").alias("status"),
         "in_use",
+        F.coalesce(F.col("_gap")["cells"], F.lit(1).cast("bigint")).alias("cells"),
     )

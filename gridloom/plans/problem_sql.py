@@ -1,4 +1,5 @@
-"""DuckDB statements for the queries of problems 1 to 5, written independently of the operators."""
+"""DuckDB statements for the queries of problems 1 to 6. Those of 1 to 5 are written independently of the operators; that of 6 states the
+operator's main rules and constants once more, so it tests how they are computed, not whether they are the right ones."""
 
 from __future__ import annotations
 
@@ -153,3 +154,27 @@ d AS (SELECT meter_id, day + k * INTERVAL '1 hour' AS cell FROM (SELECT DISTINCT
 SELECT d.meter_id, strftime(d.cell, '%Y-%m-%d %H:%M:%S') AS slot_start, round(amount, 6) AS kwh, CAST(coalesce(n, 0) AS BIGINT) AS readings,
        CAST(least(coalesce(cov, 0), 3600000000) // 1000000 AS BIGINT) AS covered_s, CASE WHEN n > 0 THEN 'observed' WHEN cov > 0 THEN 'filled' ELSE 'missing' END AS status
 FROM d LEFT JOIN s ON s.meter_id = d.meter_id AND s.cell = d.cell"""
+
+SQL["p2_incremental"] = SQL["p2_table"]
+SQL["p4_batches"] = SQL["p4_found"]
+SQL["p3_counter"] = f"""
+WITH {_READINGS},
+r AS (SELECT meter_id, ts, log_offset, log_partition, CAST(round(power_consumption_kwh * 1000) AS BIGINT) AS wh FROM numbered WHERE rn = 1 AND meter_id IS NOT NULL AND ts IS NOT NULL AND power_consumption_kwh > 0),
+register AS (SELECT meter_id, ts, sum(wh) OVER (PARTITION BY meter_id, date_trunc('day', ts) ORDER BY ts, log_offset, log_partition ROWS UNBOUNDED PRECEDING) AS v FROM r),
+state AS (SELECT meter_id, ts, max(v) AS v FROM register GROUP BY 1, 2),
+i AS (SELECT meter_id, ts, lag(ts) OVER w AS b, CASE WHEN lag(v) OVER w IS NULL THEN NULL WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS amount FROM state WINDOW w AS (PARTITION BY meter_id ORDER BY ts)),
+p AS (SELECT meter_id, ts, coalesce(b, ts) AS b, amount, date_trunc('day', coalesce(b, ts)) + INTERVAL '1 day' AS lo, date_trunc('day', ts) AS hi FROM i),
+c AS (
+  SELECT meter_id, ts, b, amount, cell, 1 AS n FROM (SELECT *, unnest(generate_series(date_trunc('hour', b), date_trunc('hour', ts), INTERVAL '1 hour')) AS cell FROM p) WHERE cell < lo OR cell >= hi
+  UNION ALL SELECT meter_id, ts, b, amount, lo, date_diff('hour', lo, hi) FROM p WHERE lo < hi
+),
+o AS (SELECT *, n = 1 AND cell = date_trunc('hour', ts) AS here, greatest(0, date_diff('microsecond', greatest(b, cell), least(ts, cell + n * INTERVAL '1 hour'))) AS cov FROM c),
+s AS (
+  SELECT meter_id, cell, n, sum(amount * CASE WHEN ts > b THEN cov / CAST(date_diff('microsecond', b, ts) AS DOUBLE) ELSE CAST(here AS INTEGER) END) AS amount, count(*) FILTER (here) AS readings, sum(cov) AS cov
+  FROM o WHERE here OR cov > 0 GROUP BY 1, 2, 3
+),
+d AS (SELECT meter_id, date_trunc('day', cell) AS day, max(n) AS n, sum(readings) > 0 AS in_use FROM s GROUP BY 1, 2),
+g AS (SELECT meter_id, day + k * INTERVAL '1 hour' AS cell, n AS cells, in_use FROM d, range(24) AS x(k) WHERE n = 1 OR k = 0)
+SELECT g.meter_id, strftime(g.cell, '%Y-%m-%d %H:%M:%S') AS slot_start, round(amount, 6) AS wh, CAST(coalesce(readings, 0) AS BIGINT) AS readings,
+       CAST(least(coalesce(cov, 0), g.cells * 3600000000) // 1000000 AS BIGINT) AS covered_s, CASE WHEN readings > 0 THEN 'observed' WHEN cov > 0 THEN 'filled' ELSE 'missing' END AS status, g.cells, g.in_use
+FROM g LEFT JOIN s ON s.meter_id = g.meter_id AND s.cell = g.cell"""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.functions.timeparse import HOUR, SECOND, iso_micros, micros, micros_text
+from gridloom.functions.timeparse import DAY, HOUR, SECOND, bucket_of, iso_micros, micros, micros_text
 from gridloom.operators.anomalies import implausible
 from gridloom.operators.asof import attach_as_known
-from gridloom.operators.changefeed import apply_changes, distinct_changes
+from gridloom.operators.changefeed import advance, apply_changes, distinct_changes, standing
 from gridloom.operators.dedup import first_copies, later_copies
-from gridloom.operators.lateness import lambda_views, windows_to_correct
+from gridloom.operators.lateness import windows_to_correct
 from gridloom.operators.regrid import regular_grid
+from gridloom.session import scratch
+from gridloom.store.quotients import QuotientTables
+from gridloom.streaming.lambda_store import LambdaStore
 
 ROW = ["log_offset", "log_partition"]
 WINDOW = 288 * 60 * SECOND
@@ -54,9 +58,23 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills_with_rate(spark, sf_dir).select("household_id", F.col("sim_date").cast("string").alias("sim_date"), "version", F.col("tariff_rate").cast("decimal(14,4)").alias("billed_rate"), "right_rate")
 
 
+_FEED = ("household_id", "op", "effective", "source_seq", ["log_offset"], ["tariff_rate", "billing_tier", "subsidy_flag"])
+
+
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tariffs that hold after the whole feed."""
-    return apply_changes(tariff_changes(spark, sf_dir), "household_id", "op", "effective", "source_seq", ["log_offset"], ["tariff_rate", "billing_tier", "subsidy_flag"])
+    return apply_changes(tariff_changes(spark, sf_dir), *_FEED).drop("effective")
+
+
+def p2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the feed applied in three deliveries of which the latest comes first: late changes meet tombstones."""
+    feed = tariff_changes(spark, sf_dir)
+    third = F.ntile(3).over(Window.partitionBy("household_id").orderBy(F.col("source_seq").desc(), "log_offset"))
+    feed = feed.withColumn("_part", third)
+    state = None
+    for k in (1, 2, 3):
+        state = advance(state, feed.filter(F.col("_part") == k), *_FEED)
+    return standing(state, "op").select("household_id", "source_seq", "tariff_rate", "billing_tier", "subsidy_flag")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,32 +101,57 @@ def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("meter_id", micros_text(F.col("cell_start")).alias("slot_start"), F.round("amount", 6).alias("kwh"), "readings", (F.col("covered") / SECOND).cast("bigint").alias("covered_s"), "status")
 
 
+def p3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly series from a cumulative register: whole Wh counted up by each meter, which starts anew every day (a reset)."""
+    log = readings(spark, sf_dir)
+    kept = first_copies(log, "event_id", F.col("emitted"), ROW, ["meter_id", "at", "power_consumption_kwh"]).filter("meter_id is not null and at is not null and power_consumption_kwh > 0")
+    day = bucket_of(F.col("at"), DAY)
+    upto = Window.partitionBy("meter_id", day).orderBy("at", *ROW).rowsBetween(Window.unboundedPreceding, 0)
+    register = kept.withColumn("register_wh", F.sum(F.round(F.col("power_consumption_kwh") * 1000).cast("bigint")).over(upto))
+    last = register.groupBy("meter_id", "at").agg(F.max("register_wh").alias("register_wh"))  # one state of the register at an instant
+    grid = regular_grid(last, "meter_id", "at", "register_wh", counter=True)
+    return grid.select("meter_id", micros_text(F.col("cell_start")).alias("slot_start"), F.round("amount", 6).alias("wh"), "readings", (F.col("covered") / SECOND).cast("bigint").alias("covered_s"), "status", "cells", "in_use")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are not the kept copy of their message."""
     log = table(spark, sf_dir, "meter_readings_v1").withColumn("emitted", iso_micros(F.col("producer_emitted_at")))
     return later_copies(log, "event_id", F.col("emitted"), ROW).select("log_partition", "log_offset")
 
 
-def zone_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals per zone and window as of the last message of the log."""
+def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from quotient tables that are kept between batches: the log inserted in two deliveries, then asked about."""
+    log = table(spark, sf_dir, "meter_readings_v1").withColumn("emitted", iso_micros(F.col("producer_emitted_at")))
+    tables = QuotientTables(spark, scratch(spark, "quotients"), {n: log.schema[n].dataType for n in ROW})
+    low, high = log.agg(F.min("batch_id"), F.max("batch_id")).first()  # one row
+    middle = ((low or 0) + (high or 0)) // 2
+    early = F.coalesce(F.col("batch_id") <= F.lit(middle), F.lit(True))
+    for k, part in enumerate((early, ~early)):
+        tables.insert(log.filter(part), "event_id", F.col("emitted"), batch_id=k)
+    return tables.later(log, "event_id", F.col("emitted")).select("log_partition", "log_offset")
+
+
+def zone_views(spark: SparkSession, sf_dir: str) -> LambdaStore:
+    """The Lambda views per zone and window as of the last message of the log."""
     log = readings(spark, sf_dir)
-    kept = first_copies(log, "event_id", F.col("emitted"), ROW, ["emitted", "grid_zone", "at", *SUMS.values()])
+    store = LambdaStore(spark, scratch(spark, "views"), T.StructType([log.schema["grid_zone"]]), SUMS, WINDOW, CUTOFF)
     as_of = table(spark, sf_dir, "meter_readings_v1").agg(F.max(iso_micros(F.col("producer_emitted_at")))).first()[0]  # one row
-    return lambda_views(kept, ["grid_zone"], "at", "emitted", SUMS, WINDOW, CUTOFF, as_of or 0)
+    store.catch_up(log, as_of or 0)
+    return store
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published windows that are off, and windows with counted readings that have no row."""
     published = table(spark, sf_dir, "zone_load_1m")
     published = published.withColumn("window_at", _micros_of(published, "window_start"))
-    wrong = windows_to_correct(zone_views(spark, sf_dir), published, ["grid_zone"], {n: n for n in SUMS}, 0.0005)
+    wrong = windows_to_correct(zone_views(spark, sf_dir).view(), published, ["grid_zone"], {n: n for n in SUMS}, 0.0005)
     return wrong.select("grid_zone", micros_text(F.col("window_at")).alias("window_start"))
 
 
 def p5_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corrected totals of each zone and window."""
-    v = zone_views(spark, sf_dir)
-    return v.filter("counted > 0").select("grid_zone", micros_text(F.col("window_at")).alias("window_start"), *[F.col(n).cast("decimal(38,6)").alias(n) for n in SUMS], "counted")
+    v = zone_views(spark, sf_dir).view()
+    return v.select("grid_zone", micros_text(F.col("window_at")).alias("window_start"), *[F.col(n).cast("decimal(38,6)").alias(n) for n in SUMS], "counted")
 
 
 def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +164,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_flags(spark, sf_dir).select("log_partition", "log_offset", "measure")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_table, p3_found, p3_grid, p4_found, p5_found, p5_views, p6_found, p6_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_table, p2_incremental, p3_found, p3_grid, p3_counter, p4_found, p4_batches, p5_found, p5_views, p6_found, p6_flags)}

@@ -54,3 +54,16 @@ def test_nulls_empty_and_day_edges(spark):
     assert sum(r.readings for r in out) == 2 and {r.in_use for r in out if r.cell_start >= DAY} == {True}
     text = spark.createDataFrame([("m", 0, 1.0)], R).withColumn("amount", F.lit(1)).withColumn("cell", F.lit(2))
     assert regular_grid(text, "s", "at", "v").filter("in_use").select(micros_text(F.col("cell_start"))).count() == 24
+
+
+def test_a_long_gap_is_one_row(spark):
+    """A counter that was silent for 30 years: the days of its two readings come as hours, what lies between as one row."""
+    years = 30 * 365 * DAY
+    out = grid(spark, [("m", 5 * HOUR, 0.0), ("m", years + 7 * HOUR, 100.0), ("m", years + 9 * HOUR, 102.0)], counter=True)
+    assert len(out) == 24 + 1 + 24
+    gap = next(r for r in out if r.cells > 1)
+    assert (gap.cell_start, gap.cells, gap.status, gap.in_use, gap.readings) == (DAY, (30 * 365 - 1) * 24, "filled", False, 0) and gap.covered == gap.cells * HOUR
+    assert sum(r.amount or 0 for r in out) == pytest.approx(102.0)
+    # in a period without readings that an increment only reaches into, its cells come out
+    short = grid(spark, [("m", 23 * HOUR, 0.0), ("m", DAY + HOUR, 2.0)], counter=True)
+    assert len(short) == 48 and {r.cells for r in short} == {1}
