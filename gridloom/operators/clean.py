@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.contracts import CLEAN_FIELDS, READING, REQUIRED
+from gridloom.functions.identifiers import uuid_hex
 
 TOLERANCE = 1e-6
 
@@ -19,9 +20,15 @@ def parse(raw: DataFrame, value: str = "value", schema: T.StructType = READING)
     return raw.select(*kept, F.col(value).cast("string").alias("raw_value"), F.from_json(F.col(value).cast("string"), schema).alias("_d")).select(*kept, "raw_value", "_d.*")
 
 
-def dedupe_key(event_id: Column, partition: Column, offset: Column) -> Column:
-    """The event id or, for a record without one, its place in the log: it is kept, and rejected later with a reason."""
-    return F.coalesce(event_id, F.concat_ws(":", F.lit("_unkeyable"), partition.cast("string"), offset.cast("string")))
+def message_id(event_id: Column) -> Column:
+    """The same for all spellings of a UUID; of other identifiers the trimmed text; null if there is none (null or blank)."""
+    text = event_id.cast("string")
+    return F.coalesce(uuid_hex(text), F.when(text.rlike(r"\S"), F.trim(text)))
+
+
+def dedupe_key(event_id: Column, place: Column) -> Column:
+    """The message's identity or, for a record without one, its place, which must be its own: it is kept, and rejected later with a reason."""
+    return F.coalesce(message_id(event_id), F.concat(F.lit("_unkeyable:"), place))
 
 
 def any_null(columns: list[str] | tuple[str, ...] = REQUIRED) -> Column:
@@ -102,13 +109,19 @@ def dimension_faults(households: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, keys: list[str] | str = "household_id", broadcast_rows: int = 100_000) -> DataFrame:
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that a frame is made of, by their statistics, without a job; unknown sizes count as huge."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, keys: list[str] | str = "household_id", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Left equi-join that neither drops nor multiplies rows (the dimension's keys must be unique).
 
-    The dimension is broadcast only if a look at broadcast_rows + 1 of its rows shows that it has no more than that many; beyond,
-    Spark joins by shuffle.
+    The dimension is broadcast only if what it is read from has no more than so many bytes; beyond, or where that is not known,
+    Spark joins by shuffle, or broadcasts what it has measured at run time. Joins of a dimension with its own lookups add no rows, so that its source bounds its size.
     """
-    small = not dim.isStreaming and dim.select(F.lit(1)).limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = not dim.isStreaming and source_bytes(dim) <= broadcast_bytes
     return df.join(F.broadcast(dim) if small else dim, keys, "left")
 
 

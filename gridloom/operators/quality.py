@@ -73,6 +73,20 @@ def silent(last_seen: DataFrame, expected: DataFrame, key: str, as_of: Column, l
     return expected.select(key).join(last_seen, key, "left").filter(F.coalesce(as_of - F.col("last_at") > F.lit(longer_than), F.lit(True)))
 
 
+def behind(last: DataFrame, alert: str, now: Column, longer_than: int) -> DataFrame:
+    """alert and label of what has had no news (last_at) for longer than so many microseconds, or never had any."""
+    return last.filter(F.coalesce(now - F.col("last_at") > F.lit(longer_than), F.lit(True))).select(F.lit(alert).alias("alert"), "label")
+
+
+def missing(expected: DataFrame, there: DataFrame, key: str, alert: str) -> DataFrame:
+    """alert and label of the keys that are expected and not there."""
+    return expected.join(there, key, "left_anti").select(F.lit(alert).alias("alert"), F.col(key).cast("string").alias("label"))
+
+
+def all_alerts(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def inhibited(firing: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
     """Alerts that still count when others (by) fire on the same labels."""
     return firing.join(by.select(*on).distinct(), on, "left_anti")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.amounts import decimal_of
+
 WINDOW = "288 minutes"
-KWH = "decimal(18,6)"
 TOTAL = "decimal(28,6)"
 
 
 def kwh(c: Column) -> Column:
-    """Energy for summing: exact, so that the order of rows does not matter."""
-    return c.try_cast(KWH)
+    """Energy for summing: exact, so that the order of rows does not matter. NaN is null; a value of 10^22 or more raises an error."""
+    return decimal_of(c, 28, 6)
 
 
 def renewable_pct(consumption: Column, solar: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.contracts import READING
-from gridloom.functions.timeparse import DAY, HOUR, SECOND, micros, micros_text
+from gridloom.contracts import CLEAN_READING, READING
+from gridloom.functions.timeparse import DAY, HOUR, SECOND, bucket_of, floor_to, micros, micros_text
 from gridloom.operators import clean, quality, serving, zones
+from gridloom.operators.changefeed import operation
 from gridloom.operators.dedup import first_copies
 from gridloom.simtime import Clock
 from gridloom.plans.problems import ROW, readings, table, tariff_changes
@@ -43,7 +44,8 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select(*ROW, clean.dedupe_key(F.col("event_id"), F.col("log_partition"), F.col("log_offset")).alias("dedupe_key"))
+    place = F.concat_ws(":", F.col("log_partition").cast("string"), F.col("log_offset").cast("string"))
+    return messages(spark, sf_dir).select(*ROW, clean.dedupe_key(F.col("event_id"), place).alias("dedupe_key"))
 
 
 def parsed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +64,12 @@ def valid_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dlq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rejected = clean.split(judged(spark, sf_dir))[1].withColumn("raw_value", F.concat_ws("|", "log_partition", "log_offset", "event_id"))
-    return clean.dead_letters(rejected, "clean", F.col("producer_emitted_at"))
+    """The dead letters, with what their payload, the original record, says."""
+    rejected = clean.split(judged(spark, sf_dir))[1].withColumn("raw_value", F.to_json(F.struct(*READING.names)))
+    letters = clean.dead_letters(rejected, "clean", F.col("producer_emitted_at"))
+    payload = F.from_json("original_payload", READING)
+    said = ["event_id", "meter_id", "household_id", "grid_zone", "power_consumption_kwh", "solar_generation_kwh", "event_timestamp", "sim_date", "producer_emitted_at"]
+    return letters.select("rejection_reason", "rejected_at", "job_name", "correlation_id", "schema_version", *[payload[c].alias("original_" + c) for c in said])
 
 
 def enriched_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +78,10 @@ def enriched_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key and the number of fields of each message of the clean log."""
-    m = clean.clean_message(valid(spark, sf_dir))
-    return m.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.get_json_object("value", "$.event_id")).alias("with_id"), F.count_distinct(F.get_json_object("value", "$.household_id")).alias("n_households"))
+    """The messages of the clean log: their key, and what their value says."""
+    m = clean.clean_message(valid(spark, sf_dir)).withColumn("_v", F.from_json("value", CLEAN_READING))
+    numbers = [F.round(F.col("_v")[c], 6).alias(c) for c in ("net_grid_kwh", "self_consumption_kwh")]
+    return m.select("key", *[F.col("_v")[c].alias(c) for c in ("event_id", "meter_id", "household_id", "power_consumption_kwh", "solar_generation_kwh", "is_exporting", "zone_name", "time_of_day_bucket", "event_timestamp")], *numbers)
 
 
 def bucket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +97,10 @@ def zone_load_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_active_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = zones.zone_load(valid(spark, sf_dir), exact_meters=False)
-    return out.select("grid_zone", _text("window_start").alias("window_start"), "active_meter_count")
+    """The approximate count of active meters next to the exact one, and whether it is within four standard errors (5 % each) or one meter."""
+    rows = valid(spark, sf_dir)
+    both = rows.groupBy(F.window("event_at", zones.WINDOW), "grid_zone").agg(F.approx_count_distinct("household_id").alias("a"), F.count_distinct("household_id").alias("exact_count"))
+    return both.select("grid_zone", _text("window.start").alias("window_start"), "exact_count", (F.abs(F.col("a") - F.col("exact_count")) <= F.greatest(F.lit(1.0), 0.2 * F.col("exact_count"))).alias("within_error"))
 
 
 def late_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,18 +117,19 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tariffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = tariff_changes(spark, sf_dir).filter("household_id is not null and effective is not null")
+    """The latest tariff of each household and day; one that was deleted last is none."""
+    feed = tariff_changes(spark, sf_dir).filter("household_id is not null and effective is not null").withColumn("op", operation(F.col("op")))
     # log_offset breaks ties
-    return serving.latest_per(feed, ["household_id"], ["effective", "source_seq", "log_offset"])
+    return serving.latest_per(feed, ["household_id", "sim_date"], ["effective", "source_seq", "log_offset"]).filter("op <> 'd'")
 
 
 def latest_tariff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tariffs(spark, sf_dir).select("household_id", "log_offset", "tariff_rate", "billing_tier", "subsidy_flag")
+    return _tariffs(spark, sf_dir).select("household_id", "sim_date", "log_offset", "tariff_rate", "billing_tier", "subsidy_flag")
 
 
 def _running_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tariffs(spark, sf_dir).select("household_id", F.col("tariff_rate").try_cast("decimal(10,4)").alias("tariff_rate"), "billing_tier")
-    return clean.join_dimension(_running(spark, sf_dir), t).withColumn("tariff_missing", F.col("tariff_rate").isNull())
+    t = _tariffs(spark, sf_dir).select("household_id", "sim_date", F.col("tariff_rate").try_cast("decimal(10,4)").alias("tariff_rate"), "billing_tier")
+    return clean.join_dimension(_running(spark, sf_dir), t, ["household_id", "sim_date"]).withColumn("tariff_missing", F.col("tariff_rate").isNull())
 
 
 def running_with_tariff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +150,8 @@ def latest_zone_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = serving.optionally(_published(spark, sf_dir), "grid_zone", "ZONE-HUB")
-    return serving.newest(one, "window_start", 50, "grid_zone").select("grid_zone", _text("window_start").alias("window_start"), "total_consumption_kwh", "total_solar_kwh")
+    """The newest 50 windows of each zone."""
+    return serving.newest_per(_published(spark, sf_dir), ["grid_zone"], "window_start", 50).select("grid_zone", _text("window_start").alias("window_start"), "total_consumption_kwh", "total_solar_kwh")
 
 
 def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,14 +163,14 @@ def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 households with the greatest net consumption of the latest day."""
-    r = _running(spark, sf_dir)
-    last = r.groupBy().agg(F.max("sim_date").alias("sim_date"))
-    return serving.top(r.join(last, "sim_date"), "net_grid_kwh", 20, "household_id").select("household_id", "sim_date", "net_grid_kwh")
+    first = _running(spark, sf_dir).orderBy(F.col("sim_date").desc(), F.col("net_grid_kwh").desc_nulls_last(), "household_id").limit(20)
+    # of these few rows, those of the latest day
+    return first.withColumn("_last", F.max("sim_date").over(Window.partitionBy())).filter("sim_date = _last").select("household_id", "sim_date", "net_grid_kwh")
 
 
 def bill_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = serving.optionally(table(spark, sf_dir, "household_billing_daily"), "household_id", "HH-0000001")
-    return one.orderBy(F.col("sim_date").desc(), F.col("version").desc()).select(F.col("sim_date").cast("string").alias("sim_date"), "version", "net_grid_kwh", "final_bill", "is_current")
+    """All versions of all bills."""
+    return table(spark, sf_dir, "household_billing_daily").select("household_id", F.col("sim_date").cast("string").alias("sim_date"), "version", "net_grid_kwh", "final_bill", "is_current")
 
 
 def bill_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +190,9 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published windows of one half-open day."""
-    return serving.on_day(_published(spark, sf_dir), "window_start", F.to_date(F.lit("2025-03-10"))).select("grid_zone", _text("window_start").alias("window_start"), "total_consumption_kwh")
+    """Published windows of the last half-open day that has any."""
+    p = _published(spark, sf_dir)
+    return serving.on_day(p, "window_start", p.agg(F.to_date(F.max("window_start"))).scalar()).select("grid_zone", _text("window_start").alias("window_start"), "total_consumption_kwh")
 
 
 def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +248,16 @@ def zone_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grid_zone", _text("window_start").alias("window_start"), F.round("mean_kw", 6).alias("mean_kw"), "capacity_kw")
 
 
+def _latest_event(log: DataFrame):
+    """The latest event time that is not ahead of publication."""
+    return log.agg(F.max(F.when(F.col("at") <= F.col("emitted"), F.col("at")))).scalar()
+
+
 def _silent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = readings(spark, sf_dir).filter("meter_id is not null").groupBy("meter_id").agg(F.max("at").alias("last_at"))
-    as_of = 20162 * DAY  # 2025-03-15 00:00
-    return quality.silent(seen, table(spark, sf_dir, "households"), "meter_id", F.lit(as_of), 6 * HOUR)
+    """Meters that were silent for six hours at the latest event."""
+    log = readings(spark, sf_dir)
+    seen = log.filter("meter_id is not null").groupBy("meter_id").agg(F.max("at").alias("last_at"))
+    return quality.silent(seen, table(spark, sf_dir, "households"), "meter_id", _latest_event(log), 6 * HOUR)
 
 
 def meter_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +277,9 @@ def offset_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile of delay by log partition (exact)."""
-    r = readings(spark, sf_dir).filter("at is not null and emitted is not null").withColumn("delay_s", (F.col("emitted") - F.col("at")) / SECOND)
-    return r.groupBy("log_partition").agg(*[F.round(F.percentile("delay_s", F.lit(p)), 3).alias(n) for p, n in ((0.5, "p50_s"), (0.95, "p95_s"))])
+    r = readings(spark, sf_dir).select("log_partition", (F.col("emitted") - F.col("at")).alias("delay"))
+    out = serving.quantiles(r, ["log_partition"], "delay", {"p50_s": 0.5, "p95_s": 0.95}, 60 * SECOND)
+    return out.select("log_partition", *[F.round(F.col(n) / SECOND, 3).alias(n) for n in ("p50_s", "p95_s")])
 
 
 def households_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,10 +295,9 @@ def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with a part delivered again (a union), counted by zone before and after deduplication."""
+    """The log delivered twice (a union), counted by zone before and after deduplication."""
     log = readings(spark, sf_dir)
-    again = log.filter("log_offset % 50 = 0").withColumn("log_offset", F.col("log_offset") + 10**12)
-    both = log.unionByName(again).filter("event_id is not null")
+    both = log.unionByName(log.withColumn("log_offset", F.col("log_offset") + 10**12)).filter("event_id is not null")
     n = both.groupBy("grid_zone").agg(F.count(F.lit(1)).alias("n_rows"))
     kept = first_copies(both, "event_id", F.col("emitted"), ROW, ["grid_zone"]).groupBy("grid_zone").agg(F.count(F.lit(1)).alias("n_messages"))
     return n.alias("n").join(kept.alias("k"), F.col("n.grid_zone").eqNullSafe(F.col("k.grid_zone"))).select("n.grid_zone", "n_rows", "n_messages")
@@ -295,9 +312,9 @@ def latest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restated_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bill table after one day is issued again from the running totals."""
+    """The bill table after its last day is issued again from the running totals."""
     bills = table(spark, sf_dir, "household_billing_daily").withColumn("sim_date", F.col("sim_date").cast("string")).select("household_id", "sim_date", "version", F.col("net_grid_kwh").cast("decimal(28,6)").alias("net_grid_kwh"), "is_current")
-    day = _running(spark, sf_dir).filter("sim_date = '2025-03-10'").select("household_id", "sim_date", "net_grid_kwh")
+    day = _running(spark, sf_dir).filter(F.col("sim_date") == bills.agg(F.max("sim_date")).scalar()).select("household_id", "sim_date", "net_grid_kwh")
     return quality.issue(bills, day, ["household_id", "sim_date"], ["sim_date"])
 
 
@@ -335,9 +352,9 @@ def sim_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of correlation ids with a prefix, published within two days, by zone."""
+    """Messages of correlation ids with a prefix, published in the two days before that of the latest event, by zone."""
     r = readings(spark, sf_dir)
-    end = 20160 * DAY  # 2025-03-13 00:00
+    end = floor_to(_latest_event(r), DAY)
     some = r.filter(F.col("correlation_id").startswith("c-0") & (F.col("emitted") >= end - 2 * DAY) & (F.col("emitted") < end))
     return some.groupBy("grid_zone").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("correlation_id").alias("n_ids"))
 
@@ -378,6 +395,27 @@ def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.latest_per(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", _text("o_orderdate").alias("o_orderdate"))
 
 
+def pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per dataset of the pipeline: its rows and its newest instant."""
+    log, bills, load = readings(spark, sf_dir), table(spark, sf_dir, "household_billing_daily"), _published(spark, sf_dir)
+    tariffs = tariff_changes(spark, sf_dir)
+    of = lambda df, name, at: df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("n_rows"), F.max(at).alias("newest"))
+    parts = [of(log, "readings", F.col("emitted")), of(bills, "bills", micros(F.col("generated_at"), dict(bills.dtypes)["generated_at"])), of(load, "zone_load", micros(F.col("updated_at"), dict(load.dtypes)["updated_at"])), of(tariffs, "tariffs", F.col("published"))]
+    return serving.status(parts).withColumn("newest", micros_text(F.col("newest")))
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fires when the log's last message was published: datasets without news for a day, partitions that lag behind, days without a report, and a stalled tariff feed."""
+    log, load, bills = readings(spark, sf_dir), _published(spark, sf_dir), table(spark, sf_dir, "household_billing_daily")
+    now = log.agg(F.max("emitted")).scalar()
+    ends = log.groupBy("log_partition").agg(F.max("emitted").alias("last_at")).select(F.col("log_partition").cast("string").alias("label"), "last_at")
+    newest = load.agg(F.max(micros(F.col("updated_at"), dict(load.dtypes)["updated_at"])).alias("last_at")).select(F.lit("zone_load").alias("label"), "last_at")
+    tariffs = tariff_changes(spark, sf_dir).agg(F.max("published").alias("last_at")).select(F.lit("tariffs").alias("label"), "last_at")
+    days = log.filter("at is not null and emitted >= at").select(F.date_from_unix_date(bucket_of(F.col("at"), DAY).cast("int")).alias("sim_date")).distinct()
+    parts = [quality.behind(newest, "no_data", now, DAY), quality.behind(ends, "lag", now, 2 * HOUR), quality.behind(tariffs, "tariff_stalled", now, DAY), quality.missing(days, bills.select("sim_date"), "sim_date", "missed_report")]
+    return quality.all_alerts(parts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -387,6 +425,6 @@ QUERIES = {
         coverage_gate, coherence_gate, reject_rate_gate, duplicate_keys, current_version_faults, version_currency, null_iff_missing, settled_diff,
         low_renewable, zone_overload, meter_silent, inhibited_alerts, offset_rate, batch_percentiles, households_by_zone, dimension_faults, distinct_days,
         redelivered, next_versions, latest_bills, restated_bills, ready_days, unbilled_backlog, daily_zone_report, hourly_profile, event_windows, lineitem_totals, latest_order,
-        sim_clock, prefix_window, target_day, household_dimension, unreported_days,
+        sim_clock, prefix_window, target_day, household_dimension, unreported_days, pipeline_status, alerts,
     )
 }

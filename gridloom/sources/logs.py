@@ -12,8 +12,22 @@ from gridloom.operators.clean import dimension_faults, parse
 
 
 def _offsets(df: DataFrame) -> DataFrame:
-    """A place in the log for every line: file and block position."""
-    return df.withColumns({"log_partition": F.col("_metadata.file_name"), "log_offset": F.col("_metadata.file_block_start")})
+    """The place of every line of a file log: its file, and the log_offset that the producer wrote into the record (null if it wrote none)."""
+    return df.withColumns({"log_partition": F.col("_metadata.file_path"), "log_offset": F.get_json_object("value", "$.log_offset").try_cast("bigint")})
+
+
+def write_log(df: DataFrame, folder: str, fields: list[str], order: list[str], files: int = 4) -> None:
+    """A file log: JSON lines with the fields and the record's log_offset, in order of arrival within and between files, whose
+    modification times rise, so that a stream reads them in that order."""
+    spark = df.sparkSession
+    lines = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    lines.select(F.to_json(F.struct(*[f for f in fields if f != "log_offset"], "log_offset")).alias("value")).write.mode("overwrite").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    newest = fs.getFileStatus(path).getModificationTime()
+    for k, p in enumerate(found):
+        fs.setTimes(p, newest - 1000 * (len(found) - k), -1)
 
 
 def stream_log(spark: SparkSession, path: str, schema: T.StructType = READING, max_files: int = 10, kafka: dict[str, str] | None = None) -> DataFrame:
@@ -29,7 +43,7 @@ def stream_log(spark: SparkSession, path: str, schema: T.StructType = READING, m
 
 
 def batch_log(spark: SparkSession, path: str, schema: T.StructType = READING) -> DataFrame:
-    """The whole log, from the earliest record on."""
+    """The whole log, from the earliest record on: to be read anew in each micro-batch where a compacted log stands beside a stream."""
     return parse(_offsets(spark.read.text(path)).select("value", "log_partition", "log_offset"), schema=schema)
 
 

@@ -1,6 +1,8 @@
+import random
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def test_enrichment(spark):
 def test_dimension_join_neither_drops_nor_multiplies(spark):
     dim = spark.createDataFrame([("h", 1)], "household_id string, x int")
     df = readings(spark).union(readings(spark, household_id="other")).union(readings(spark, household_id=None))
-    for most in (10, 0):  # broadcast or not
-        assert sorted((r.household_id or "", r.x) for r in clean.join_dimension(df, dim, broadcast_rows=most).collect()) == [("", None), ("h", 1), ("other", None)]
+    for most in (1 << 80, 0):  # broadcast or not
+        assert sorted((r.household_id or "", r.x) for r in clean.join_dimension(df, dim, broadcast_bytes=most).collect()) == [("", None), ("h", 1), ("other", None)]
 
 
 def test_dimension_faults(spark):
@@ -97,6 +99,25 @@ def test_serving(spark):
     assert serving.relation_exists(spark, "gridloom_there") and not serving.relation_exists(spark, "gridloom_not_there")
 
 
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_quantiles_are_exact(spark, width):
+    rng = random.Random(width)
+    rows = [(k, rng.choice([rng.randrange(-50, 50), 7])) for k in ("a", "b", "one", None) for _ in range(1 if k == "one" else 101 if k == "a" else 64)] + [("a", None)]
+    out = serving.quantiles(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, width).collect()
+    assert {r.k for r in out} == {"a", "b", "one"}
+    for r in out:
+        v = np.array([v for k, v in rows if k == r.k and v is not None])
+        assert [r.p0, r.p50, r.p95, r.p100] == pytest.approx([np.quantile(v, q) for q in (0, 0.5, 0.95, 1)])
+
+
+def test_alert_predicates(spark):
+    last = spark.createDataFrame([("x", 10), ("y", 95), ("z", None)], "label string, last_at bigint")
+    assert {tuple(r) for r in quality.behind(last, "lag", F.lit(100), 20).collect()} == {("lag", "x"), ("lag", "z")}
+    days = spark.createDataFrame([("d1",), ("d2",)], "d string")
+    gone = quality.missing(days, days.filter("d = 'd1'"), "d", "missed_report")
+    assert [tuple(r) for r in quality.all_alerts([gone, gone]).collect()] == [("missed_report", "d2")] * 2
+
+
 def test_gates(spark):
     seen, expected = spark.range(94), spark.range(100)
     with pytest.raises(quality.GateFailed):

@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators.dedup import KEY, first_copies, identified, shard_tables
+from gridloom.operators.lateness import window_totals
 from gridloom.plans import core, problems
 from gridloom.sources.sinks import archive
 
@@ -36,6 +38,21 @@ def test_archive_is_pruned_by_day_and_zone(spark, tmp_path):
 
 
 def test_sums_combine_before_the_shuffle(spark, sf):
-    plan = plan_of(problems.zone_views(spark, sf))
+    log = problems.readings(spark, sf)
+    plan = plan_of(window_totals(log, ["grid_zone"], "at", "emitted", problems.SUMS, problems.WINDOW, problems.CUTOFF))
     assert "partial_sum" in plan
-    assert "partial_min" in plan  # copies of a message
+    kept = plan_of(first_copies(log, "event_id", F.col("emitted"), problems.ROW, ["at"]))
+    assert "partial_min" in kept  # copies of a message
+
+
+def test_quotient_tables_are_hash_aggregated(spark, sf):
+    log = problems.readings(spark, sf)
+    rows = identified(log, "event_id").select(*KEY, F.col("emitted").alias("_first"), F.lit(1).alias("_salt"))
+    plan = plan_of(shard_tables(rows))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "partial_count" in plan
+
+
+def test_identities_are_computed_once(spark, sf):
+    """Conditions on computed keys would be pushed below and double the work."""
+    plan = plan_of(first_copies(problems.readings(spark, sf), "event_id", F.col("emitted"), problems.ROW, []))
+    assert not re.search(r"Filter [^\n]*xxhash64", plan)

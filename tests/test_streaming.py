@@ -1,18 +1,23 @@
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.contracts import CLEAN_READING
+from gridloom.contracts import CLEAN_READING, KEYS
 from gridloom.fixtures import generators
 from gridloom.operators import clean, zones
+from gridloom.operators.dedup import first_copies
 from gridloom.simtime import TimeBudget
-from gridloom.sources.logs import BadDimension, batch_log, clean_stream, event_time, read_dimensions, stream_log, tariff_drops, weather_drops
+from gridloom.sources.logs import BadDimension, batch_log, clean_stream, event_time, read_dimensions, stream_log, tariff_drops, weather_drops, write_log
 from gridloom.sources.sinks import drop_file
 from gridloom.store.keyed import KeyedTable
+from gridloom.store.quotients import QuotientTables
 from gridloom.streaming import run
 
+DAYS = T.StructType([T.StructField("household_id", T.StringType()), T.StructField("sim_date", T.StringType()), *[T.StructField(n, T.DecimalType(28, 6)) for n in ("consumption_kwh", "solar_kwh", "net_grid_kwh")]])
 START = 1_741_046_400_000_000  # 2025-03-04
 RAW = ["event_id", "meter_id", "household_id", "grid_zone", "power_consumption_kwh", "solar_generation_kwh", "event_timestamp", "sim_date", "producer_emitted_at", "correlation_id", "schema_version"]
 
@@ -34,7 +39,7 @@ def test_stream_equals_batch_and_replays_alike(spark, raw, tmp_path):
     folder, dim = raw
     out = str(tmp_path / "out")
     run.clean_job(stream_log(spark, folder, max_files=2), dim, out, str(tmp_path / "cp")).awaitTermination()
-    log = event_time(batch_log(spark, folder)).withColumn("key", clean.dedupe_key(F.col("event_id"), F.col("log_partition"), F.col("log_offset"))).dropDuplicates(["key"])
+    log = run.with_key(event_time(batch_log(spark, folder))).dropDuplicates(["dedupe_key"])
     judged = clean.join_dimension(log, dim).withColumn("rejection_reason", clean.rejection_reason(F.col("emitted_at"), run.REQUIRED))
     want = {r.rejection_reason or "valid": r["count"] for r in judged.groupBy("rejection_reason").count().collect()}
     got = {r.reason: r.n for r in spark.read.json(f"{out}/audit").groupBy("reason").agg(F.sum("n_rows").alias("n")).collect()}
@@ -72,6 +77,85 @@ def test_stream_equals_batch_and_replays_alike(spark, raw, tmp_path):
     assert {r.household_id for r in rated.read().filter("tariff_rate = 2.5").collect()} == {one} and rated.read().count() == len(want)
 
 
+def line(event_id, hour=1, **more):
+    return json.dumps({"event_id": event_id, "household_id": "h", "grid_zone": "z", "power_consumption_kwh": 1.0, "solar_generation_kwh": 0.0, "net_grid_kwh": 1.0, "event_timestamp": f"2025-03-04T{hour:02d}:00:00Z", "producer_emitted_at": f"2025-03-04T{hour:02d}:00:01Z", "sim_date": "2025-03-04"} | more)
+
+
+U = "12345678-90ab-cdef-1234-567890abcdef"
+#: Three records without an id, three with a blank one, and one message in four spellings: seven messages.
+MIXED = [None, None, None, "", "  ", "", U, U.upper(), "{" + U + "}", "urn:uuid:" + U]
+
+
+def test_stream_keeps_what_has_no_id_and_knows_every_spelling(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    drop_file(str(folder), "a.json", "\n".join(line(i) for i in MIXED).encode())
+    drop_file(str(folder), "b.json", "\n".join(line(i) for i in [U, None]).encode())
+    for k, name in enumerate(("a.json", "b.json")):
+        os.utime(folder / name, (1000 + k, 1000 + k))
+    dim = spark.createDataFrame([("h", False, 0.0, "zone", 9.0)], "household_id string, has_solar boolean, solar_capacity_kw double, zone_name string, zone_capacity_kw double")
+    out = str(tmp_path / "out")
+    run.clean_job(stream_log(spark, str(folder), max_files=1), dim, out, str(tmp_path / "cp")).awaitTermination()
+    n = {r.reason: r.n for r in spark.read.json(f"{out}/audit").groupBy("reason").agg(F.sum("n_rows").alias("n")).collect()}
+    assert n == {"valid": 4, "null_required_field": 4}  # three blank ids and the message; three and one without an id
+    # the batch over the same log has the same messages
+    batch = first_copies(event_time(batch_log(spark, str(folder))).withColumn("n", F.monotonically_increasing_id()), "event_id", F.col("n"), ["n"], [])
+    assert batch.count() == sum(n.values())
+    # downstream jobs count alike, also when the clean log is delivered again
+    clean_log = tmp_path / "clean"
+    clean_log.mkdir()
+    for k in range(2):
+        drop_file(str(clean_log), f"{k}.json", "\n".join(line(i) for i in ["", "", U if k else U.upper()]).encode())
+    t = KeyedTable(spark, str(tmp_path / "t"), DAYS, ["household_id", "sim_date"])
+    run.running_job(clean_stream(spark, str(clean_log), CLEAN_READING, ["household_id"]), t, str(tmp_path / "cpd")).awaitTermination()
+    assert [int(r.consumption_kwh) for r in t.read().collect()] == [5]
+
+
+def test_a_batch_merged_before_a_crash_runs_to_its_end(spark, tmp_path):
+    """The sink knows the batch; its state must be written all the same."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    drop_file(str(folder), "a.json", line(U).encode())
+    t = KeyedTable(spark, str(tmp_path / "t"), DAYS, ["household_id", "sim_date"])
+    job = lambda: run.running_job(clean_stream(spark, str(folder), CLEAN_READING, ["household_id"]), t, str(tmp_path / "cp")).awaitTermination()
+    job()
+    shutil.rmtree(tmp_path / "cp" / "commits")  # as if the job had died after the merge
+    version = t.version
+    job()
+    assert t.version == version
+    drop_file(str(folder), "b.json", line("other", 2).encode())
+    job()
+    assert [int(r.consumption_kwh) for r in t.read().collect()] == [2]
+
+
+def test_once_job_knows_ids_of_any_age(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, ids in enumerate(([U, None], [U.upper(), "x"], [U, None, " x "])):
+        drop_file(str(folder), f"{k}.json", "\n".join(line(i, 1 + k, log_offset=10 * k + n) for n, i in enumerate(ids)).encode())
+        os.utime(folder / f"{k}.json", (1000 + k, 1000 + k))
+    tables = QuotientTables(spark, str(tmp_path / "q"), {"log_offset": T.LongType(), "log_partition": T.StringType()})
+    run.once_job(event_time(stream_log(spark, str(folder), max_files=1)), tables, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.log_offset, r.event_id) for r in spark.read.schema("log_offset bigint, event_id string").option("recursiveFileLookup", True).json(str(tmp_path / "out")).collect())
+    assert got == [(0, U), (1, None), (11, "x"), (21, None)]
+
+
+def test_files_of_a_log_are_read_in_order_of_arrival(spark, tmp_path):
+    df = spark.range(1000).select(F.lit("e").alias("event_id"), F.col("id").alias("log_offset"))
+    write_log(df.repartition(7), str(tmp_path / "log"), ["event_id"], ["log_offset"], 5)
+    files = sorted((p.stat().st_mtime, p) for p in (tmp_path / "log").glob("part-*"))
+    offsets = [json.loads(x)["log_offset"] for _, p in files for x in p.read_text().split()]
+    assert offsets == list(range(1000)) and len({m for m, _ in files}) == len(files)
+    assert {r.log_offset for r in batch_log(spark, str(tmp_path / "log")).collect()} == set(range(1000))
+
+
+def test_audit_is_keyed_by_run_job_and_stage(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "audit"), T.StructType([T.StructField("run_id", T.LongType()), T.StructField("job_name", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("n_rows", T.LongType())]), list(KEYS["run_audit"]))
+    for n in (5, 7):
+        run.audit(t, spark.createDataFrame([(1, "j", "a", n), (1, "j", "b", 1), (n, "j", "a", n)], "run_id long, job_name string, stage string, n_rows long"))
+    assert sorted(map(tuple, t.read().collect())) == [(1, "j", "a", 7), (1, "j", "b", 1), (5, "j", "a", 5), (7, "j", "a", 7)]
+
+
 def test_time_budget_is_checked_before_anything_runs(spark):
     with pytest.raises(ValueError, match="dropped"):
         run.zone_job(None, None, "", TimeBudget(records_per_batch=20_000))
@@ -82,6 +166,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     folder.mkdir()
     for k, hours in enumerate(([0, 1], [40, 41], [42], [2, 43])):  # the 2 comes behind the watermark
         drop_file(str(folder), f"{k}.json", "\n".join(json.dumps({"event_id": f"{k}{h}", "household_id": "h", "grid_zone": "z", "power_consumption_kwh": 1.0, "solar_generation_kwh": 0.0, "net_grid_kwh": 1.0, "event_timestamp": f"2025-03-{4 + h // 24:02d}T{h % 24:02d}:00:00Z"}) for h in hours).encode())
+        os.utime(folder / f"{k}.json", (1000 + k, 1000 + k))  # files are read in the order of their times
     listener = run.LateRows()
     spark.streams.addListener(listener)
     try:
