@@ -47,7 +47,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = cut(mix_weights(sized, _table(spark, sf_dir, "mix_plan")))
     reached = draw(sized, weights).groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("copies").alias("drawn_documents"), F.max("copies").alias("most_repeats"))
     out = weights.join(reached, ["mix_name", "source"], "left").fillna(0, ["drawn_tokens", "drawn_documents", "most_repeats"])
-    return out.select("mix_name", "source", "target_share", F.try_divide("drawn_tokens", "total_tokens").alias("reached_share"), "drawn_tokens", "drawn_documents", "most_repeats", "reachable", "tempered_share", "even_share")
+    return out.select("mix_name", "source", "target_share", F.try_divide("drawn_tokens", "total_tokens").alias("reached_share"), "weight", "normalised_weight", "exponent", "drawn_tokens", "drawn_documents", "most_repeats", "reachable")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

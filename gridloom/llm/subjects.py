@@ -12,6 +12,7 @@ from __future__ import annotations
 import pickle
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ class Training:
     decay: float = 1e-5
     shards: int = 8
     held_out: float = 0.1  # share of the labelled documents by which the threshold is chosen
-    threshold: float = -0.5  # if fewer than least_held_out documents are held out
-    least_held_out: int = 300
+    threshold: float = -1.25  # where the choice of the threshold starts from
+    away: float = 0.02  # the F1 on the held-out documents that a threshold farther by 1 must gain
     seed: int = 7
 
 
@@ -181,6 +183,18 @@ class Scorer:
         return out
 
 
+_decoded: dict[tuple[str, int], Shard] = {}
+
+
+def decoded(run: str, k: int, blob: bytes) -> Shard:
+    """A shard, kept in the worker from step to step; of an earlier run nothing is kept."""
+    if (run, k) not in _decoded:
+        for old in [key for key in _decoded if key[0] != run]:
+            del _decoded[old]
+        _decoded[run, k] = pickle.loads(blob)
+    return _decoded[run, k]
+
+
 def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], training: Training) -> DataFrame:
     """text, labels (for each subject the share of the document's annotators that gave it) and held, of at most most_labelled documents."""
     per = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(
@@ -211,24 +225,27 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], training
             held += b.column(2).to_pylist()
         if texts:
             shard = Shard(texts, ys, held, training)
-            yield pa.RecordBatch.from_pydict({"n": [int((~shard.held).sum())], "shard": pa.array([pickle.dumps(shard)], type=pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": [TaskContext.get().partitionId()], "n": [int((~shard.held).sum())], "shard": pa.array([pickle.dumps(shard)], type=pa.binary())})
 
     rows = labelled(documents, labels, subjects, training)
     # bounded: most_labelled documents in a fixed number of shards
-    shards = cut(rows.repartition(training.shards, F.xxhash64("text", "labels")).mapInArrow(lay_out, "n bigint, shard binary"))
+    shards = cut(rows.repartition(training.shards, F.xxhash64("text", "labels")).mapInArrow(lay_out, "k bigint, n bigint, shard binary"))
     n = shards.agg(F.sum("n")).first()[0] or 0
     if not n or not k:
         return Model(subjects, table[:1] * 0, out * 0, np.full(k, -np.inf, dtype=np.float32), 0.0, {})
 
+    name = uuid.uuid4().hex
+
     def on_shards(work):
         given = spark.sparkContext.broadcast((table, out, bias))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for blob in b.column(0).to_pylist():
-                    yield pa.RecordBatch.from_pydict({"result": pa.array([pickle.dumps(work(pickle.loads(blob), *given.value))], type=pa.binary())})
+                for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                    result = work(decoded(name, k, blob.as_buffer()), *given.value)
+                    yield pa.RecordBatch.from_pydict({"result": pa.array([pickle.dumps(result)], type=pa.binary())})
 
-        got = [pickle.loads(bytes(r[0])) for r in shards.select("shard").mapInArrow(run, "result binary").collect()]
+        got = [pickle.loads(bytes(r[0])) for r in shards.select("k", "shard").mapInArrow(run, "result binary").collect()]
         given.destroy()
         return got
 
@@ -251,9 +268,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], training
         said = scores > at
         return 2 * float((said & truth).sum()) / max(1.0, float(said.sum() + truth.sum()))
 
-    threshold = training.threshold
-    if len(scores) >= training.least_held_out:
-        threshold = max(np.arange(-1.5, 0.51, 0.25), key=lambda t: (round(f1(t), 4), -abs(t - training.threshold)))
+    threshold = max(np.arange(-2.0, 0.51, 0.25), key=lambda t: f1(t) - training.away * abs(t - training.threshold))
     return Model(subjects, table, out, bias, float(threshold), {"documents": float(len(scores)), "f1": f1(threshold)})
 
 

@@ -9,7 +9,7 @@ from gridloom.llm.subjects import Model, Scorer, Shard, Training, assign, featur
 SUBJECTS = ["birds", "ships"]
 VOCABULARY = {"birds": ["sparrow", "plumage", "nesting", "feather", "warbler", "fledgling"], "ships": ["keel", "rudder", "mainsail", "harbour", "ballast", "bowsprit"]}
 PLAIN = ["index", "value", "list", "token", "buffer", "queue", "string", "return", "count", "total"]
-SMALL = Training(buckets=1 << 12, size=8, steps=40, shards=3, least_held_out=50)
+SMALL = Training(buckets=1 << 12, size=8, steps=40, shards=3)
 
 
 def text(rng, areas):
