@@ -64,12 +64,15 @@ def generate(spark: SparkSession, meters: int, hours: int, start_micros: int, se
 
 
 #: fault and the share of records that have it; at most one each, duplicates aside
-FAULTS = (("null_field", 0.002), ("negative", 0.002), ("solar_spike", 0.002), ("future", 0.001), ("late", 0.01))
-DUPLICATES = 0.005
+FAULTS = (("null_field", 0.002), ("negative", 0.002), ("solar_spike", 0.002), ("future", 0.002), ("late", 0.01))
+DUPLICATES = 0.01
+#: Fields that a record may lack.
+NULL_FIELDS = ("household_id", "grid_zone", "event_timestamp")
 
 
-def inject(readings: DataFrame, seed: int = 1, faults: tuple[tuple[str, float], ...] = FAULTS, duplicates: float = DUPLICATES) -> DataFrame:
-    """The readings with faults: column `fault` names the one that a record got. Duplicates are appended."""
+def inject(readings: DataFrame, seed: int = 1, faults: tuple[tuple[str, float], ...] = FAULTS, duplicates: float = DUPLICATES, late_minutes: int = 4) -> DataFrame:
+    """The readings with faults: column `fault` names the one that a record got. Duplicates are appended. late_minutes are simulated ones, as
+    are the 30 of `future`; to be dropped behind a watermark they must exceed it."""
     u = uniform(F.lit(seed), F.col("event_id"), F.lit("fault"))
     fault, upto = F.lit(None).cast("string"), sum(s for _, s in faults)
     for name, share in reversed(faults):
@@ -77,19 +80,20 @@ def inject(readings: DataFrame, seed: int = 1, faults: tuple[tuple[str, float],
         upto -= share
     # built from the last on, so that each fault has its own interval
     f = F.col("fault")
+    which = F.floor(3 * uniform(F.lit(seed), F.col("event_id"), F.lit("which")))
     shifted = lambda minutes: F.date_format(F.to_timestamp("event_timestamp") + F.make_dt_interval(mins=F.lit(minutes)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     out = readings.withColumn("fault", fault).withColumns(
         {
-            "household_id": F.when(f == "null_field", None).otherwise(F.col("household_id")),
+            **{c: F.when((f == "null_field") & (which == k), None).otherwise(F.col(c)) for k, c in enumerate(NULL_FIELDS[:2])},
             "power_consumption_kwh": F.when(f == "negative", -F.col("power_consumption_kwh") - 0.001).otherwise(F.col("power_consumption_kwh")),
             "solar_generation_kwh": F.when(f == "solar_spike", 5 * F.greatest(F.col("solar_capacity_kw"), F.lit(1.0))).otherwise(F.col("solar_generation_kwh")),
-            "event_timestamp": F.when(f == "future", shifted(30)).when(f == "late", shifted(-720)).otherwise(F.col("event_timestamp")),
+            "event_timestamp": F.when((f == "null_field") & (which == 2), None).when(f == "future", shifted(30)).when(f == "late", shifted(-late_minutes)).otherwise(F.col("event_timestamp")),
         }
     )
     return out.unionByName(out.filter(uniform(F.lit(seed), F.col("event_id"), F.lit("copy")) < duplicates))
 
 
-def without_dropouts(readings: DataFrame, share: float = 0.01, seed: int = 1) -> DataFrame:
-    """Takes out all readings of a meter for some hours."""
-    hour = F.substring("event_timestamp", 1, 13)
-    return readings.filter(uniform(F.lit(seed), F.col("meter_id"), hour, F.lit("out")) >= share)
+def without_dropouts(readings: DataFrame, share: float = 0.001, seed: int = 1, real_seconds: int = 90, ratio: float = 288.0) -> DataFrame:
+    """Takes out all readings of a meter for spans of so many real seconds: a share of all such spans of all meters."""
+    span = F.floor(F.unix_seconds(F.to_timestamp("event_timestamp")) / F.lit(real_seconds * ratio))
+    return readings.filter(uniform(F.lit(seed), F.col("meter_id"), span, F.lit("out")) >= share)

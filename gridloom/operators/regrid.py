@@ -45,11 +45,13 @@ def spread(pieces: DataFrame, source: str, at: str, step: int = HOUR, period: in
     first, last = bucket_of(F.col("begin"), step), bucket_of(F.col(at), step)
     whole = lambda c: c - F.pmod(c, F.lit(per).cast("bigint"))
     begins, ends = whole(first) + F.lit(per).cast("bigint"), whole(last)  # of the periods between
-    one = lambda low, high: F.transform(F.sequence(low, high), lambda c: F.struct(c.alias("cell"), F.lit(1).cast("bigint").alias("cells")))
-    between = F.array(F.struct(begins.alias("cell"), (ends - begins).alias("cells")))
-    # of the array's parts only those that are wanted are built
-    parts = F.when(ends < begins, one(first, last)).when(ends == begins, F.concat(one(first, begins - 1), one(ends, last))).otherwise(F.concat(one(first, begins - 1), between, one(ends, last)))
-    each = pieces.withColumn("_c", F.explode(parts)).select(source, at, "begin", "amount", "_c.cell", "_c.cells")
+    # the cells up to the end of the first period, the periods between as one, the cells of the last period
+    head, gap = begins - first, ends > begins
+    n = F.when(gap, head + (last - ends) + 2).otherwise(last - first + 1)
+    each = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("_k"))
+    k = F.col("_k")
+    cell = F.when(~gap | (k < head), first + k).when(k == head, begins).otherwise(ends + (k - head - 1))
+    each = each.select(source, at, "begin", "amount", cell.alias("cell"), F.when(gap & (k == head), ends - begins).otherwise(1).alias("cells"))
     low, high = F.greatest(F.col("begin"), F.col("cell") * step), F.least(F.col(at), (F.col("cell") + F.col("cells")) * step)
     covered = F.greatest(high - low, F.lit(0))
     here = (F.col("cell") == last) & (F.col("cells") == 1)
@@ -71,13 +73,13 @@ def regular_grid(readings: DataFrame, source: str, at: str, value: str, counter:
     pieces = increments(readings, source, at, value, counter, span)
     cells = spread(pieces, source, at, step, period).groupBy(source, "cell", "cells").agg(F.sum("amount").alias("amount"), F.sum("covered").alias("covered"), F.sum("readings").alias("readings"))
     group = (F.col("cell") - F.pmod(F.col("cell"), F.lit(per).cast("bigint"))).alias("_first")
-    single = F.when(F.col("cells") == 1, F.struct(F.pmod(F.col("cell"), F.lit(per).cast("bigint")).alias("k"), "amount", "covered", "readings"))
+    k = F.pmod(F.col("cell"), F.lit(per).cast("bigint"))
+    single = F.when(F.col("cells") == 1, F.struct(k.alias("k"), F.struct("amount", "covered", "readings").alias("cell")))
     gap = F.when(F.col("cells") > 1, F.struct("cells", "amount", "covered"))
     # at most period / step entries; a gap begins a period in which nothing else lies
-    periods = cells.groupBy(source, group).agg(F.collect_list(single).alias("_found"), F.max(gap).alias("_gap"), (F.sum("readings") > 0).alias("in_use"))
-    found = F.map_from_entries(F.transform("_found", lambda x: F.struct(x["k"], x)))
+    periods = cells.groupBy(source, group).agg(F.map_from_entries(F.collect_list(single)).alias("_found"), F.max(gap).alias("_gap"), (F.sum("readings") > 0).alias("in_use"))
     slots = F.when(F.col("_gap").isNotNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(per - 1).cast("bigint")))
-    each = periods.select(source, "_first", found.alias("_found"), "_gap", "in_use", F.explode(slots).alias("_k"))
+    each = periods.select(source, "_first", "_found", "_gap", "in_use", F.explode(slots).alias("_k"))
     cell = F.try_element_at("_found", F.col("_k"))
     n = F.coalesce(cell["readings"], F.lit(0))
     covered = F.coalesce(F.col("_gap")["covered"], cell["covered"], F.lit(0))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from gridloom.functions.timeparse import DAY, HOUR, bucket_of
 from gridloom.operators.dedup import first_copies
 from gridloom.operators.lateness import ENERGY, first_open, last_batch, window_totals
+from gridloom.session import cut
 from gridloom.store.keyed import KeyedTable
 
 BEFORE_ALL = -(2**62)
@@ -85,6 +86,9 @@ class LambdaStore:
         """Brings an empty store over a log whose arrival is an instant to as_of: the last two scheduled batches, the second of which
         finds most windows frozen and replaces the rest, then the increments since."""
         last = last_batch(as_of, every)
-        for at in (last - every, last):
-            self.recompute(log, at, at)
-        self.increment(log, last, as_of)
+        self.recompute(log, last - every, last - every)
+        columns = dict.fromkeys([self.id_col, self.event_at, self.published_at, self.arrival, *self.tie, *self.keys, *self.sums.values()])
+        # what belongs to open windows is read from the log once for both layers
+        recent = cut(log.filter(F.col(self.event_at) >= F.lit(self.open_from)).select(*columns))
+        self.recompute(recent, last, last)
+        self.increment(recent, last, as_of)
