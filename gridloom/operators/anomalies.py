@@ -44,11 +44,13 @@ class Limits:
 
 
 def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], limits: Limits) -> DataFrame:
-    """Per source (not null) a struct for each measure: top, shoulder, low, most, fence and fences (a map from context to its upper fence).
+    """Per source (not null) a struct for each measure: spike (for each context, and last for values without time, what a value must be above to
+    be a spike; null if none is known) and low (the 0.9 quantile; null if there are few values).
 
-    measures: name -> whether only values above 0 are used (else values of 0 or more). A context's regular peaks raise its fence, but
-    not if they lie as far above the source's top as spikes do: then they are spikes, and the interquartile fence stands alone.
-    Contexts of few values, and values without time, have the fence of the whole source.
+    measures: name -> whether only values above 0 are used (else values of 0 or more). A value is a spike if it is far above the source's regular
+    top and outside the upper fence of its context. A context's regular peaks raise its fence, but not if they lie as far above the source's
+    top as spikes do: then they are spikes, and the interquartile fence stands alone. Contexts of few values, and values without time, have the
+    fence of the whole source.
     """
     context = F.coalesce(F.pmod(bucket_of(F.col(at), DAY // limits.contexts), F.lit(limits.contexts)), F.lit(-1)).cast("int").alias("_context")
     usable = lambda m: F.when((F.col(m) > 0 if measures[m] else F.col(m) >= 0) & ~F.isnan(m), F.col(m).cast("double"))
@@ -77,28 +79,23 @@ def sketches(rows: DataFrame, source: str, at: str, measures: dict[str, bool], l
         kept = F.filter("_fence_" + m, lambda e: (e["_context"] >= 0) & (e["n"] >= limits.few))
         return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["_context"], own(e))))
 
-    tops = merged.select("*", *[at_rank(F.col(m), limits.top_positive if measures[m] else limits.top).alias("_top_" + m) for m in measures])
-    return tops.select(
-        source,
-        *[
-            F.struct(
-                F.col("_top_" + m).alias("top"),
-                at_rank(F.col(m), limits.shoulder if not measures[m] else limits.top_positive).alias("shoulder"),
-                F.when(F.kll_sketch_get_n_double(m) >= limits.few, at_rank(F.col(m), limits.peak)).alias("low"),
-                F.col("_most_" + m).alias("most"),
-                quartile_fence(F.col(m)).alias("fence"),
-                fences(m, F.col("_top_" + m)).alias("fences"),
-            ).alias(m)
-            for m in measures
-        ],
-    )
+    def spike(m: str) -> Column:
+        top, shoulder = F.col("_top_" + m), at_rank(F.col(m), limits.shoulder if not measures[m] else limits.top_positive)
+        # a few spikes may reach the top quantile: then the shoulder tells, unless the values above it lie close together
+        far = F.when(F.col("_most_" + m) > limits.scatter * top, F.least(limits.jump * top, limits.jump_shoulder * shoulder)).otherwise(limits.jump * top)
+        each = F.transform(F.sequence(F.lit(0), F.lit(limits.contexts)), lambda c: F.greatest(F.col("_far_" + m), F.coalesce(F.try_element_at("_fences_" + m, c), F.col("_whole_" + m), F.lit(0.0))))
+        return {"_far_" + m: F.when(top > 0, far), "_fences_" + m: fences(m, top), "_whole_" + m: quartile_fence(F.col(m))}, F.when(F.col("_far_" + m).isNotNull(), each)
+
+    tops = merged.withColumns({"_top_" + m: at_rank(F.col(m), limits.top_positive if measures[m] else limits.top) for m in measures})
+    tops = tops.withColumns({n: c for m in measures for n, c in spike(m)[0].items()})
+    low = lambda m: F.when(F.kll_sketch_get_n_double(m) >= limits.few, at_rank(F.col(m), limits.peak))
+    return tops.select(source, *[F.struct(spike(m)[1].alias("spike"), low(m).alias("low")).alias(m) for m in measures])
 
 
 def is_spike(value: Column, at: Column, profile: Column, limits: Limits) -> Column:
     """Whether value is far beyond what the profile of its source and measure shows."""
-    context = F.coalesce(F.pmod(bucket_of(at, DAY // limits.contexts), F.lit(limits.contexts)), F.lit(-1)).cast("int")
-    far = (value > limits.jump * profile["top"]) | ((value > limits.jump_shoulder * profile["shoulder"]) & (profile["most"] > limits.scatter * profile["top"]))
-    return F.coalesce(far & (profile["top"] > 0) & (value > F.coalesce(F.try_element_at(profile["fences"], context), profile["fence"], F.lit(0.0))), F.lit(False))
+    context = F.coalesce(F.pmod(bucket_of(at, DAY // limits.contexts), F.lit(limits.contexts)).cast("int"), F.lit(limits.contexts))
+    return F.coalesce(value > F.get(profile["spike"], context), F.lit(False))
 
 
 #: The days of rows without time are numbered from here downwards.
@@ -110,7 +107,8 @@ def on_days(rows: DataFrame, source: str, at: str, bucket: int = DAY) -> DataFra
 
     All that follows takes these rows as they are, without a condition that would be pushed below the shuffle, so that Spark shuffles them once.
     """
-    placed = F.coalesce(bucket_of(F.col(at), bucket), F.lit(UNTIMED) - F.pmod("_low", F.lit(64)))
+    # never null, nor nullable: a join would ask
+    placed = F.coalesce(bucket_of(F.col(at), bucket), F.lit(UNTIMED) - F.pmod("_low", F.lit(64)), F.lit(UNTIMED))
     return rows.filter(F.col(source).isNotNull()).withColumn("_day", placed).repartition(source, "_day")
 
 
@@ -265,13 +263,13 @@ def implausible(readings: DataFrame, sources: DataFrame, limits: Limits = Limits
 
     days = days_of(messages, "_meter", "at", measures).join(profile.drop("_household"), "_meter", "left")
     line = timeline(placed, "_meter", "at", row, measures).join(days, ["_meter", "_day"])
-    low = lambda m: F.col("_p")[m]["low"]
-    each = F.array(*[F.struct(F.lit(m).alias("measure"), why.alias("why"), low(m).alias("low"), jump_parts("at", m, limits).alias("_j"), run_part(m).alias("_r"), F.coalesce(may_stick(m, measures) & ~F.col("_edge_" + m), F.lit(False)).alias("_runs")) for m, why in whys().items()])
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), why.alias("why"), F.col("_p")[m]["low"].alias("low"), jump_parts("at", m, limits).alias("_j"), run_part(m).alias("_r"), F.coalesce(may_stick(m, measures) & ~F.col("_edge_" + m), F.lit(False)).alias("_runs")) for m, why in whys().items()])
     lasts = lambda j: F.least(j["v"], F.greatest(j["b"], j["a"]))
-    hangs = lambda x: (lasts(x["_j"]) > limits.jump_shoulder / limits.jump * x["low"]) | ((x["_j"]["v"] > limits.jump_shoulder * x["low"]) & (x["_j"]["v"] > limits.jump * F.greatest(x["_j"]["b"], x["_j"]["a"])))
-    kept = F.filter(each, lambda x: x["why"].isNotNull() | x["_runs"] | F.coalesce(hangs(x), F.lit(False)) | F.col("_first") | F.col("_last"))
     held = ["_meter", "_day", "at", *row, "_first", "_last", "_new"]
-    near = line.select(*held, F.explode(kept).alias("_x")).select(*held, "_x.*")
+    near = line.select(*held, F.explode(each).alias("_x")).select(*held, "_x.*")  # asked after the explosion, as conditions within arrays are not compiled
+    j, low = F.col("_j"), F.col("low")
+    hangs = (lasts(j) > limits.jump_shoulder / limits.jump * low) | ((j["v"] > limits.jump_shoulder * low) & (j["v"] > limits.jump * F.greatest(j["b"], j["a"])))
+    near = near.filter(F.col("why").isNotNull() | F.col("_runs") | F.coalesce(hangs, F.lit(False)) | F.col("_first") | F.col("_last"))
     # readings without a meter, or without a time, are in no series
     homes = profile.filter("_household is not null").groupBy(F.concat(F.lit("h:"), F.col("_household")).alias("_source")).agg(F.first("_p").alias("_p"))
     judges = profile.select(F.col("_meter").alias("_source"), "_p").unionByName(homes)
