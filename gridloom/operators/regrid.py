@@ -42,21 +42,21 @@ def spread(pieces: DataFrame, source: str, at: str, step: int = HOUR, period: in
     their number of cells (else 1), however long the gap was.
     """
     per = period // step
-    first, last = bucket_of(F.col("begin"), step), bucket_of(F.col(at), step)
-    whole = lambda c: c - F.pmod(c, F.lit(per).cast("bigint"))
-    begins, ends = whole(first) + F.lit(per).cast("bigint"), whole(last)  # of the periods between
+    cells = pieces.withColumns({"_f": bucket_of(F.col("begin"), step), "_l": bucket_of(F.col(at), step)})
+    whole = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(per).cast("bigint"))
+    # _b, _e: the cells in which the periods between begin and end. Column by column, so that nothing is computed twice.
+    cells = cells.withColumns({"_b": whole("_f") + F.lit(per).cast("bigint"), "_e": whole("_l")})
+    first, last, begins, ends, k = (F.col(c) for c in ("_f", "_l", "_b", "_e", "_k"))
     # the cells up to the end of the first period, the periods between as one, the cells of the last period
-    head, gap = begins - first, ends > begins
-    n = F.when(gap, head + (last - ends) + 2).otherwise(last - first + 1)
-    each = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("_k"))
-    k = F.col("_k")
-    cell = F.when(~gap | (k < head), first + k).when(k == head, begins).otherwise(ends + (k - head - 1))
-    each = each.select(source, at, "begin", "amount", cell.alias("cell"), F.when(gap & (k == head), ends - begins).otherwise(1).alias("cells"))
-    low, high = F.greatest(F.col("begin"), F.col("cell") * step), F.least(F.col(at), (F.col("cell") + F.col("cells")) * step)
-    covered = F.greatest(high - low, F.lit(0))
-    here = (F.col("cell") == last) & (F.col("cells") == 1)
-    share = F.when(F.col(at) > F.col("begin"), covered / (F.col(at) - F.col("begin"))).otherwise(here.cast("double"))
-    return each.filter(here | (covered > 0)).select(source, "cell", "cells", (F.col("amount") * share).alias("amount"), covered.alias("covered"), here.cast("int").alias("readings"))
+    gap = ends > begins
+    cells = cells.withColumn("_n", F.when(gap, begins - first + last - ends + 2).otherwise(last - first + 1))
+    each = cells.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_k"))
+    cell = F.when(~gap | (k < begins - first), first + k).when(k == begins - first, begins).otherwise(ends + (k - (begins - first) - 1))
+    each = each.select(source, at, "begin", "amount", "_l", cell.alias("cell"), F.when(gap & (k == begins - first), ends - begins).otherwise(F.lit(1).cast("bigint")).alias("cells"))
+    each = each.withColumn("covered", F.greatest(F.least(F.col(at), (F.col("cell") + F.col("cells")) * step) - F.greatest(F.col("begin"), F.col("cell") * step), F.lit(0)))
+    here = (F.col("cell") == F.col("_l")) & (F.col("cells") == 1)
+    share = F.when(F.col(at) > F.col("begin"), F.col("covered") / (F.col(at) - F.col("begin"))).otherwise(here.cast("double"))
+    return each.filter(here | (F.col("covered") > 0)).select(source, "cell", "cells", (F.col("amount") * share).alias("amount"), "covered", here.cast("int").alias("readings"))
 
 
 def regular_grid(readings: DataFrame, source: str, at: str, value: str, counter: bool = False, step: int = HOUR, period: int = DAY, span: int = HOUR) -> DataFrame:

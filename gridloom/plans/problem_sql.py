@@ -122,7 +122,7 @@ def _stuck(column: str, usable: str, positive_only: bool, measure: str, name: st
 _USE, _SUN = "power_consumption_kwh", "solar_generation_kwh"
 _SPIKE = "coalesce({m}.top > 0 AND ({v} > 2.6 * {m}.top OR ({v} > 4 * {m}.shoulder AND {m}.most > 1.6 * {m}.top)) AND {v} > coalesce({p}.fence, 0), FALSE)"
 
-SQL["p6_found"] = f"""
+_FLAGS = f"""
 WITH {_READINGS.split('numbered AS')[0].rstrip().rstrip(',').replace('SELECT log_partition,', 'SELECT household_id, log_partition,')},
 {_profile(_USE, f'{_USE} >= 0', 0.985, 0.97, 'use')},
 {_profile(_SUN, f'{_SUN} > 0', 0.96, 0.96, 'sun')},
@@ -134,11 +134,16 @@ met AS (
   FROM keyed k LEFT JOIN households h ON (k.meter_id IS NOT NULL AND h.meter_id = k.meter_id) OR (k.meter_id IS NULL AND h.household_id = k.household_id)
   LEFT JOIN use_meter um ON um.meter_id = h.meter_id LEFT JOIN use_part up ON up.meter_id = h.meter_id AND up.part = coalesce(CAST(hour(k.ts) AS INTEGER) // 4, -1)
   LEFT JOIN sun_meter sm ON sm.meter_id = h.meter_id LEFT JOIN sun_part sp ON sp.meter_id = h.meter_id AND sp.part = coalesce(CAST(hour(k.ts) AS INTEGER) // 4, -1)
-)
-SELECT log_partition, log_offset, '{_USE}' AS measure FROM met WHERE c < 0 OR c_spike
-UNION SELECT log_partition, log_offset, '{_SUN}' FROM met
-  WHERE s < 0 OR (s > 0 AND (NOT has_solar OR cap <= 0)) OR s > cap OR (s > 0 AND (hour(ts) >= 20 OR hour(ts) < 4)) OR s_spike
-UNION SELECT * FROM u_stuck UNION SELECT * FROM s_stuck"""
+),
+flags AS (
+  SELECT log_partition, log_offset, '{_USE}' AS measure, CASE WHEN c < 0 THEN 'negative' WHEN c_spike THEN 'spike' END AS why FROM met
+  UNION ALL SELECT log_partition, log_offset, '{_SUN}',
+    CASE WHEN s < 0 THEN 'negative' WHEN s > 0 AND (NOT has_solar OR cap <= 0) THEN 'no_panels' WHEN s > cap THEN 'above_capacity' WHEN s > 0 AND (hour(ts) >= 20 OR hour(ts) < 4) THEN 'dark' WHEN s_spike THEN 'spike' END FROM met
+  UNION ALL SELECT *, 'stuck' FROM u_stuck UNION ALL SELECT *, 'stuck' FROM s_stuck
+)"""
+
+SQL["p6_flags"] = _FLAGS + " SELECT log_partition, log_offset, measure, min(why) AS why FROM flags WHERE why IS NOT NULL GROUP BY 1, 2, 3"
+SQL["p6_found"] = _FLAGS + " SELECT DISTINCT log_partition, log_offset, measure FROM flags WHERE why IS NOT NULL"
 
 SQL["p3_grid"] = f"""
 WITH {_READINGS},
