@@ -33,11 +33,14 @@ class QuotientTables:
         if batch_id is not None and self.table.batches.get(writer, -1) >= batch_id:
             return
         copy = F.min(F.struct("_first", *self.tie)).alias("_c")
-        fresh = self._rows(batch, id_col, first).groupBy("_shard", *KEY).agg(F.count(F.lit(1)).alias("_n"), copy)
-        shards = [str(r[0]) for r in fresh.select("_shard").distinct().collect()]  # at most 2 ** shard_bits
-        known = self.table.read(shards).select("_shard", *KEY, "_n", F.struct("_first", *self.tie).alias("_c"))
-        both = known.join(fresh.select("_shard", *KEY), ["_shard", *KEY], "left_semi").unionByName(fresh).groupBy("_shard", *KEY).agg(F.sum("_n").alias("_n"), F.min("_c").alias("_c"))
-        self.table.merge(both.select("_shard", *KEY, "_n", "_c.*"), writer=writer, batch_id=batch_id)
+        fresh = self._rows(batch, id_col, first).groupBy("_shard", *KEY).agg(F.count(F.lit(1)).alias("_n"), copy).persist()
+        try:
+            shards = [str(r[0]) for r in fresh.select("_shard").distinct().collect()]  # at most 2 ** shard_bits
+            known = self.table.read(shards).select("_shard", *KEY, "_n", F.struct("_first", *self.tie).alias("_c"))
+            both = known.join(fresh.select("_shard", *KEY), ["_shard", *KEY], "left_semi").unionByName(fresh).groupBy("_shard", *KEY).agg(F.sum("_n").alias("_n"), F.min("_c").alias("_c"))
+            self.table.merge(both.select("_shard", *KEY, "_n", "_c.*"), writer=writer, batch_id=batch_id)
+        finally:
+            fresh.unpersist()
 
     def unknown(self, batch: DataFrame, id_col: str) -> DataFrame:
         """The rows of a batch whose identifier is in no table, and those without one."""

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import anomalies
 from gridloom.operators.dedup import KEY, first_copies, identified, shard_tables
 from gridloom.operators.lateness import window_totals
 from gridloom.plans import core, problems
@@ -56,3 +57,14 @@ def test_identities_are_computed_once(spark, sf):
     """Conditions on computed keys would be pushed below and double the work."""
     plan = plan_of(first_copies(problems.readings(spark, sf), "event_id", F.col("emitted"), problems.ROW, []))
     assert not re.search(r"Filter [^\n]*xxhash64", plan)
+
+
+def test_anomalies_shuffle_the_log_once(spark, sf, monkeypatch):
+    """All that is asked of the log by meter and day asks for the same shuffle, which Spark then makes once."""
+    cuts = []
+    monkeypatch.setattr(anomalies, "cut", lambda df: cuts.append(df) or df)
+    problems.p6_found(spark, sf)
+    lines = [re.sub(r"#\d+L?|\[plan_id=\d+\]|^[ :+|-]+", "", x) for x in plan_of(cuts[0]).split("\n")]
+    below = {tuple(lines[k : k + 8]) for k, x in enumerate(lines) if x.startswith("Exchange hashpartitioning(_meter, _day")}
+    assert len(below) == 1
+    assert not any(x.startswith("Filter") and "xxhash64" in x for x in lines)
