@@ -11,20 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A folder of the archive with more rows in one batch is written by several tasks.
+ROWS_PER_FILE = 1_000_000
+#: JSON lines are kept compressed.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 def archive(df: DataFrame, path: str, batch_id: int) -> None:
-    """Parquet by day and zone under the batch's own folder: a batch written again replaces what it wrote before."""
-    df.withColumn("archived_at", F.current_timestamp()).write.mode("overwrite").partitionBy("sim_date", "grid_zone").parquet(f"{path}/batch_id={batch_id}")
+    """Parquet by day and zone under the batch's own folder: a batch written again replaces what it wrote before. df is read twice.
+
+    The rows of a folder come together before they are written, or every task would write a file into every folder; of micro-batches no adaptive plan
+    divides what is too large for a task, so large folders are dealt out to several.
+    """
+    folder = ["sim_date", "grid_zone"]
+    large = df.groupBy(*[F.col(c).alias("_" + c) for c in folder]).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files")).filter("_files > 1")  # few
+    dealt = df.join(F.broadcast(large), [F.col(c).eqNullSafe(F.col("_" + c)) for c in folder], "left")
+    rows = dealt.repartition(*folder, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce("_files", F.lit(1)))).select(*df.columns)
+    rows.withColumn("archived_at", F.current_timestamp()).write.mode("overwrite").partitionBy(*folder).parquet(f"{path}/batch_id={batch_id}")
 
 
 def append_messages(df: DataFrame, path: str, batch_id: int) -> None:
     """A log's JSON lines of one batch, replaced if the batch is written again. Every message must have a key."""
     keyed = df.select(F.when(F.col("key").isNull() | (F.col("key") == ""), F.raise_error(F.lit("a message without a key"))).otherwise(F.col("key")).alias("key"), "value")
-    keyed.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+    keyed.write.mode("overwrite").options(**PACKED).json(f"{path}/batch_id={batch_id}")
 
 
 def append_records(df: DataFrame, path: str, batch_id: int) -> None:
     """Records of one batch as JSON lines, replaced if the batch is written again."""
-    df.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").options(**PACKED).json(f"{path}/batch_id={batch_id}")
 
 
 def drop_file(folder: str, name: str, data: bytes) -> Path:

@@ -9,6 +9,7 @@ from gridloom.operators import anomalies
 from gridloom.operators.dedup import KEY, first_copies, identified, shard_tables
 from gridloom.operators.lateness import window_totals
 from gridloom.plans import core, problems
+from gridloom.sources import sinks
 from gridloom.sources.sinks import archive
 
 
@@ -68,3 +69,18 @@ def test_anomalies_shuffle_the_log_once(spark, sf, monkeypatch):
     below = {tuple(lines[k : k + 8]) for k, x in enumerate(lines) if x.startswith("Exchange hashpartitioning(_meter, _day")}
     assert len(below) == 1
     assert not any(x.startswith("Filter") and "xxhash64" in x for x in lines)
+
+
+def test_a_folder_of_the_archive_is_written_by_one_task_unless_it_is_large(spark, tmp_path, monkeypatch):
+    df = spark.range(1200, numPartitions=6).select(F.concat(F.lit("2025-03-0"), F.col("id") % 3 + 1).alias("sim_date"), F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("grid_zone"), "id")
+    archive(df, str(tmp_path / "a"), 0)
+    assert len(list((tmp_path / "a").rglob("*.parquet"))) == 6
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 100)  # zone a has 360 rows a day, zone b 40
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in micro-batches
+    try:
+        archive(df, str(tmp_path / "b"), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = [str(p) for p in (tmp_path / "b").rglob("*.parquet")]
+    assert len([p for p in files if "grid_zone=b" in p]) == 3 < len([p for p in files if "grid_zone=a" in p])
+    assert spark.read.parquet(str(tmp_path / "b")).select("id").distinct().count() == 1200 == spark.read.parquet(str(tmp_path / "b")).count()
