@@ -17,7 +17,7 @@ from gridloom.plans.problems import table
 from gridloom.session import scratch
 from gridloom.simtime import TimeBudget
 from gridloom.sources.logs import clean_stream, event_time, stream_log, write_log
-from gridloom.sources.sinks import csv_report
+from gridloom.sources.sinks import PACKED, csv_report
 from gridloom.store.keyed import KeyedTable
 from gridloom.store.quotients import QuotientTables
 from gridloom.streaming import run
@@ -29,9 +29,16 @@ AUDIT = T.StructType([T.StructField(n, t) for n, t in (("run_id", _L), ("job_nam
 LONG = "90 days"
 
 
-def _raw_log(spark: SparkSession, sf_dir: str, at: str, files: int = 3) -> str:
-    write_log(table(spark, sf_dir, "meter_readings_v1"), f"{at}/raw", READING.names, ["log_offset", "log_partition"], files)
-    return f"{at}/raw"
+#: Bytes of the log's tables, or of packed text, that one file of a scratch log holds at most, about; a packed file is read by one task.
+FILE_BYTES = 8 << 20
+
+
+def _raw_log(spark: SparkSession, sf_dir: str, at: str, batches: int = 3) -> DataFrame:
+    """A stream of the raw log in so many micro-batches, each of as many files as its size asks for."""
+    log = table(spark, sf_dir, "meter_readings_v1")
+    each = max(1, -(-clean.source_bytes(log) // (batches * FILE_BYTES)))
+    write_log(log, f"{at}/raw", READING.names, ["log_offset", "log_partition"], batches * each, **PACKED)
+    return stream_log(spark, f"{at}/raw", max_files=each)
 
 
 def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +48,7 @@ def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cleaned(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the cleaning job's outputs. The dimension is read anew in each micro-batch."""
     at = scratch(spark, "clean")
-    log = stream_log(spark, _raw_log(spark, sf_dir, at), max_files=1)
-    run.clean_job(log, lambda: _dimension(spark, sf_dir), f"{at}/out", f"{at}/cp", LONG).awaitTermination()
+    run.clean_job(_raw_log(spark, sf_dir, at), lambda: _dimension(spark, sf_dir), f"{at}/out", f"{at}/cp", LONG).awaitTermination()
     return f"{at}/out"
 
 
@@ -103,7 +109,7 @@ def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log through a stream that knows identifiers by quotient tables instead of a watermark."""
     at = scratch(spark, "once")
-    stream = event_time(stream_log(spark, _raw_log(spark, sf_dir, at), max_files=1))
+    stream = event_time(_raw_log(spark, sf_dir, at))
     run.once_job(stream, QuotientTables(spark, f"{at}/tables", {"log_offset": _L, "log_partition": _S}), f"{at}/out", f"{at}/cp").awaitTermination()
     rows = spark.read.option("recursiveFileLookup", True).schema("event_id string, household_id string, event_timestamp string").json(f"{at}/out")
     return rows.select(clean.message_id(F.col("event_id")).alias("message"), "household_id", micros_text(iso_micros(F.col("event_timestamp"))).alias("event_time"))

@@ -16,12 +16,12 @@ def _offsets(df: DataFrame) -> DataFrame:
     return df.withColumns({"log_partition": F.col("_metadata.file_path"), "log_offset": F.get_json_object("value", "$.log_offset").try_cast("bigint")})
 
 
-def write_log(df: DataFrame, folder: str, fields: list[str], order: list[str], files: int = 4) -> None:
+def write_log(df: DataFrame, folder: str, fields: list[str], order: list[str], files: int = 4, **options: str) -> None:
     """A file log: JSON lines with the fields and the record's log_offset, in order of arrival within and between files, whose
-    modification times rise, so that a stream reads them in that order."""
+    modification times rise, so that a stream reads them in that order. options: of the text files."""
     spark = df.sparkSession
-    lines = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    lines.select(F.to_json(F.struct(*[f for f in fields if f != "log_offset"], "log_offset")).alias("value")).write.mode("overwrite").text(folder)
+    lines = df.select(*dict.fromkeys([*fields, "log_offset", *order])).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    lines.select(F.to_json(F.struct(*[f for f in fields if f != "log_offset"], "log_offset")).alias("value")).write.mode("overwrite").options(**options).text(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())

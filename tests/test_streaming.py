@@ -1,6 +1,7 @@
 import json
 import os
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from gridloom.contracts import CLEAN_READING, KEYS
 from gridloom.fixtures import generators
 from gridloom.operators import clean, zones
 from gridloom.operators.dedup import first_copies
+from gridloom.plans import streams
+from gridloom.plans.problems import table
 from gridloom.simtime import TimeBudget
 from gridloom.sources.logs import BadDimension, batch_log, clean_stream, event_time, read_dimensions, stream_log, tariff_drops, weather_drops, write_log
 from gridloom.sources.sinks import drop_file
@@ -201,3 +204,16 @@ def test_dimension_files(spark, tmp_path):
     h.write_text("household_id,meter_id,grid_zone,has_solar,base_load_kw,solar_capacity_kw\n")
     with pytest.raises(BadDimension, match="empty"):
         read_dimensions(spark, str(h), str(z))
+
+
+def test_a_large_raw_log_has_several_files_in_each_of_its_three_batches(spark, sf, tmp_path, monkeypatch):
+    def files(stream):
+        seen = []
+        run.start(stream, lambda batch, k: seen.append(sorted(r[0] for r in batch.select("log_partition").distinct().collect())), str(tmp_path / f"cp{len(list(tmp_path.iterdir()))}")).awaitTermination()
+        return seen
+
+    assert [len(b) for b in files(streams._raw_log(spark, sf, str(tmp_path / "one")))] == [1, 1, 1]
+    monkeypatch.setattr(streams, "FILE_BYTES", clean.source_bytes(table(spark, sf, "meter_readings_v1")) // 5)
+    several = files(streams._raw_log(spark, sf, str(tmp_path / "two")))
+    assert [len(b) for b in several] == [2, 2, 2] and sum(several, []) == sorted(sum(several, []))  # in order of arrival
+    assert all(p.endswith(".gz") for b in several for p in b)
