@@ -31,6 +31,7 @@ LONG = "90 days"
 
 #: Bytes of the log's tables, or of packed text, that one file of a scratch log holds at most, about; a packed file is read by one task.
 FILE_BYTES = 8 << 20
+CLEAN_FILE_BYTES = 32 << 20
 
 
 def _raw_log(spark: SparkSession, sf_dir: str, at: str, batches: int = 3) -> DataFrame:
@@ -56,8 +57,9 @@ def _clean_log(spark: SparkSession, sf_dir: str) -> str:
     """The clean messages as a log of their own (text lines), every one delivered twice."""
     out = _cleaned(spark, sf_dir)
     lines = spark.read.option("recursiveFileLookup", True).schema("key string, value string").json(f"{out}/clean").select("value")
-    lines.write.text(f"{out}/log")
-    lines.write.mode("append").text(f"{out}/log")
+    lines = lines.coalesce(max(1, -(-clean.source_bytes(lines) // CLEAN_FILE_BYTES)))  # a micro-batch has ten files, however small they are
+    for _ in range(2):
+        lines.write.mode("append").options(**PACKED).text(f"{out}/log")
     return f"{out}/log"
 
 

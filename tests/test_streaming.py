@@ -217,3 +217,9 @@ def test_a_large_raw_log_has_several_files_in_each_of_its_three_batches(spark, s
     several = files(streams._raw_log(spark, sf, str(tmp_path / "two")))
     assert [len(b) for b in several] == [2, 2, 2] and sum(several, []) == sorted(sum(several, []))  # in order of arrival
     assert all(p.endswith(".gz") for b in several for p in b)
+
+
+def test_the_clean_log_is_in_few_files(spark, sf):
+    """A micro-batch takes ten files, however small they are."""
+    log = Path(streams._clean_log(spark, sf).removeprefix("file:"))
+    assert len(list(log.glob("part-*"))) == 2
