@@ -223,3 +223,14 @@ def test_the_clean_log_is_in_few_files(spark, sf):
     """A micro-batch takes ten files, however small they are."""
     log = Path(streams._clean_log(spark, sf).removeprefix("file:"))
     assert len(list(log.glob("part-*"))) == 2
+
+
+def test_of_copies_in_a_batch_the_one_that_arrived_first_is_kept(spark, tmp_path):
+    """The larger file is read first, but came later."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    drop_file(str(folder), "a.json", line(U, log_offset=1).encode())
+    drop_file(str(folder), "b.json", "\n".join([line(U.upper(), log_offset=2), *[line(f"x{k}", log_offset=10 + k) for k in range(50)]]).encode())
+    dim = spark.createDataFrame([("h", False, 0.0, "zone", 9.0)], "household_id string, has_solar boolean, solar_capacity_kw double, zone_name string, zone_capacity_kw double")
+    run.clean_job(stream_log(spark, str(folder), max_files=2), dim, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out/archive").select("log_offset").collect()) == [1, *range(10, 60)]
